@@ -1,0 +1,3 @@
+"""quillrun: a PySpark-native engine for durable batch-inference runs."""
+
+__version__ = "0.1.0"
