@@ -157,17 +157,35 @@ def mixing_rates(
     time and get equal rates, and rows of one id round alike; an empty table gives
     none; other columns, whatever their names, are ignored.
     """
+    sized, found = _solve(docs, targets, alpha, budget, id_col, text_col)
+    rated = sized.select("doc_id", F.col("__t").alias("n_tokens"), _rate(found).alias("rate"))
+    return rated.withColumn("copies", _copies(F.col("rate"), "doc_id"))
+
+
+def _solve(docs, targets, alpha, budget, id_col="doc_id", text_col="text") -> tuple[DataFrame, Balance]:
     sized = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col("source"),
-            F.col("lang"),
-            F.coalesce(word_count(F.col(text_col)), F.lit(0)).alias("__t"),
-        ),
-        "mixing",
+        docs.select(F.col(id_col).alias("doc_id"), F.col("source"), F.col("lang"), _tokens(text_col).alias("__t")), "mixing"
     )
-    found = balance(sized, targets, alpha=alpha, budget=budget)
-    rate = F.exp(cell_value(found.cells, found.lam) * F.col("__t") / found.scale)
-    rated = sized.select("doc_id", F.col("__t").alias("n_tokens"), rate.alias("rate"))
-    whole = F.floor("rate")
-    return rated.withColumn("copies", (whole + (unit_hash("doc_id") < F.col("rate") - whole).cast("bigint")).cast("bigint"))
+    return sized, balance(sized, targets, alpha=alpha, budget=budget)
+
+
+def _tokens(text_col: str) -> Column:
+    return F.coalesce(word_count(F.col(text_col)), F.lit(0))
+
+
+def _rate(found: Balance) -> Column:
+    return F.exp(cell_value(found.cells, found.lam) * F.col("__t") / found.scale)
+
+
+def _copies(rate: Column, id_col: str) -> Column:
+    whole = F.floor(rate)
+    return (whole + (unit_hash(id_col) < rate - whole).cast("bigint")).cast("bigint")
+
+
+def mixed_documents(docs: DataFrame, targets: dict[str, dict] | None = None, *, alpha: float = 0.7, budget: float = 1.0) -> DataFrame:
+    """Each row of ``docs``, all columns, as often as ``mixing_rates`` gives it
+    copies. Copies are made where the row is read, without a join or a shuffle."""
+    _, found = _solve(docs, targets, alpha, budget)
+    given = docs.withColumn("__t", _tokens("text")).withColumn("__n", _copies(_rate(found), "doc_id"))
+    repeated = given.where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i"))
+    return repeated.select(*docs.columns)
