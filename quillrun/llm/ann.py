@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, map_batches
 
 #: Hash functions a table, tables, probes a table, and slot width in root-mean-square lengths.
-FUNCTIONS, TABLES, PROBES, WIDTH = 8, 6, 160, 2.0
+FUNCTIONS, TABLES, PROBES, WIDTH = 8, 6, 240, 2.0
 #: Vectors that a coarse cell should hold; how cells are cut changes no result.
 CELL = 6000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
