@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches are bounded in bytes, so that very long texts don't add up in a Python worker.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
