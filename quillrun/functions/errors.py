@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUOTA, ENQUEUE = "insufficient_quota", "enqueue_token_limit"
 TRANSIENT, OTHER = "control_plane_transient", "batch_error"
@@ -54,7 +55,11 @@ def _parsed(text: str | None) -> object:
         return text
 
 
-@F.pandas_udf("struct<fragments:array<string>,codes:array<int>>")
+#: As a type object: a DDL string would need a session when the module is imported.
+_DEEP = T.StructType([T.StructField("fragments", T.ArrayType(T.StringType())), T.StructField("codes", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_DEEP)
 def _deep(errors: pd.Series) -> pd.DataFrame:
     values = [_parsed(x) for x in errors]
     return pd.DataFrame({"fragments": [walk(v) for v in values], "codes": [status_codes(v) for v in values]})
@@ -69,7 +74,7 @@ def shallow_fragments(error: Column) -> Column:
     """The same for errors that are plain text or an object of scalars, one object
     deep, inside the JVM."""
     flat = F.from_json(error, "map<string,string>")
-    codes = F.filter(F.transform(F.array("status_code", "status", "code"), lambda k: F.try_element_at(flat, k)), lambda x: x.rlike(r"^\d+$"))
+    codes = F.filter(F.transform(F.array(F.lit("status_code"), F.lit("status"), F.lit("code")), lambda k: F.try_element_at(flat, k)), lambda x: x.rlike(r"^\d+$"))
     parts = F.concat(F.map_keys(flat), F.map_values(flat))
     nested = F.coalesce(F.filter(parts, lambda x: x.isNotNull() & (x != "")), F.array(error))
     return F.struct(nested.alias("fragments"), F.coalesce(F.transform(codes, lambda x: x.cast("int")), F.array().cast("array<int>")).alias("codes"))

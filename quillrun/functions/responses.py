@@ -88,17 +88,18 @@ def failed(record: Column, from_error_file: Column, provider: str) -> Column:
 
 def split_outputs(records: DataFrame, provider: str) -> DataFrame:
     """``(keys), custom_id, is_error, record, value`` of records that have an id; of
-    several with the same id and outcome the last line wins.
+    several with the same id and outcome the last line wins. The text alone is
+    shuffled, and read again after: a parsed record would be as large once more.
 
     Needs provider_batch_id, from_error_file and line_number: they order the lines."""
     r = F.col("record")
     usable = F.lit(True) if provider != "anthropic" else is_object(at(r, "$.result"))
     tagged = records.select(
-        "provider_batch_id", "from_error_file", "line_number", "value", "record",
+        "provider_batch_id", "from_error_file", "line_number", "value",
         correlation(r, provider).alias("custom_id"), failed(r, F.col("from_error_file"), provider).alias("is_error"),
     ).where(F.col("custom_id").isNotNull() & usable)
     w = Window.partitionBy("provider_batch_id", "custom_id", "is_error").orderBy(F.desc("from_error_file"), F.desc("line_number"))
-    return tagged.withColumn("_last", F.row_number().over(w)).where("_last = 1").drop("_last")
+    return tagged.withColumn("_last", F.row_number().over(w)).where("_last = 1").drop("_last").withColumn("record", F.parse_json("value"))
 
 
 def normal_status(status: Column, provider: str) -> Column:

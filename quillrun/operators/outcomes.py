@@ -43,9 +43,10 @@ def classify_outcomes(
     live = items.where(F.col("status") == SUBMITTED).select(
         "item_id", "item_index", F.col("active_custom_id").alias("_cid"), F.col("active_batch_id").alias("_bid")
     )
-    one = outputs.groupBy("provider_batch_id", "custom_id").agg(F.min_by(F.struct("is_error", "record", "value"), F.col("is_error")).alias("r"))
+    one = outputs.groupBy("provider_batch_id", "custom_id").agg(F.min_by(F.struct("is_error", "value"), F.col("is_error")).alias("r"))
     j = live.join(one, (live["_cid"] == one["custom_id"]) & (live["_bid"] == one["provider_batch_id"]), "left")
-    rec, raw = F.col("r.record"), F.col("r.value")
+    raw = F.col("r.value")
+    rec = F.parse_json(raw)
     text = responses.extract_text(rec, provider)
     # Only error rows are walked for what they say.
     is_error = F.coalesce(F.col("r.is_error"), F.lit(False))

@@ -13,6 +13,7 @@ from ..functions import requests
 from ..functions.requests import OutputSchema
 from ..functions.tokens import EnqueueLimits
 from ..sources.files import output_lines
+from ..workspace import materialize
 
 INLINE_BYTES = 20_000_000
 INPUT_MODES = ("auto", "inline", "file", "gcs")
@@ -169,7 +170,7 @@ class LocalProvider(Provider):
         return b
 
     def lines(self, spark: SparkSession, batches: list[Batch]) -> DataFrame:
-        """Outputs are computed from the requests, not written: all batches in one scan."""
+        """Outputs are computed from the requests of all batches in one scan, and written as a provider's would be."""
         raw = super().lines(spark, batches)
         rounds = F.create_map(*(F.lit(x) for b in batches for x in (b.id, self.batches[b.id][2]))) if batches else None
         if rounds is None:
@@ -177,4 +178,4 @@ class LocalProvider(Provider):
         kind = self.config.kind
         cid = requests.correlation_id(F.col("value"), provider=kind)
         out = local_output(cid, self.number(cid), rounds[F.col("provider_batch_id")], structured=self.structured, provider=kind)
-        return raw.withColumn("value", out).where("value is not null")
+        return materialize(raw.withColumn("value", out).where("value is not null"), "outputs")

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.ordinals import dense_order
 from ..operators.ingest import pending_items, to_insert
 from ..plans.ledger import VERSION, Ledger, ParquetLedger
 from ..schemas import ITEMS, TERMINAL
-from ..sources.files import with_row_index
 
 
 def ingest_stream(
@@ -30,7 +30,7 @@ def ingest_stream(
         rows = batch.select(item_id.cast("string").alias("item_id"), payload.alias("payload"), meta.alias("metadata"))
         existing = ledger.current(run_id, "items")
         fresh = rows.join(existing.select("item_id"), "item_id", "left_anti")
-        numbered = with_row_index(fresh, "item_index").withColumn("item_index", F.col("item_index") + state.next_index)
+        numbered = dense_order(fresh, "item_id", name="item_index", start=state.next_index)
         new = pending_items(numbered.select("item_id", "item_index", "payload", "metadata"), run_id, **prompt)
         deltas = {"items": to_insert(new, existing, replay_from=state.next_index)}
         state.next_index += fresh.count()
