@@ -60,7 +60,7 @@ def composite_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sources one after another whose ids collide."""
     rows = CompositeSource(_parts(spark, sf_dir)).rows()
     return rows.select(
-        F.col("source_index").cast("bigint").alias("source_index"), "row_index", "item_id",
+        F.col("source_index").cast("bigint").alias("source_index"), F.col("child_index").alias("row_index"), "item_id",
         F.try_element_at("metadata", F.lit("source_primary_key")).alias("source_primary_key"), F.length("payload.text").cast("bigint").alias("n_chars"),
     )
 
