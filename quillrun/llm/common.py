@@ -1,51 +1,18 @@
-"""What the operators share: a folder all executors see, materialised tables, Arrow batch maps."""
+"""What the operators share: Arrow batch maps, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workspace import materialize, new_path, shared_dir
+
 #: Arrow batches are bounded in bytes, so that very long texts don't add up in a Python worker.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where that is unset and the
-    master is local, as in tests, is a folder of our own made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    base = spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rsplit("/", 1)[0]
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="quillrun-")
-    spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -72,3 +39,6 @@ def list_array(values: pa.Array, lengths) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+__all__ = ["BATCH_BYTES", "bound_batches", "list_array", "map_batches", "materialize", "new_path", "shared_dir"]
