@@ -215,6 +215,14 @@ def _intents(items: DataFrame) -> DataFrame:
     )
 
 
+def submitted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ids that batches were given, in their order, those still submitted."""
+    items = _mixed(spark, sf_dir)
+    sent = F.struct("item_index", ids.custom_id(F.col("item_id"), F.lit(0)).alias("c"))
+    given = items.groupBy(_batch_id().alias("provider_batch_id")).agg(F.array_sort(F.collect_list(sent)).alias("s"))
+    return summary.submitted_ids(given.withColumn("custom_ids", F.transform("s", lambda x: x["c"])), items)
+
+
 def mark_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round 1's completions applied; delivered twice, they apply once."""
     items = _submitted(spark, sf_dir)
@@ -392,7 +400,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_text_shapes, batch_statuses, classify_errors, backoff_delay, submitted_semi_join, missing_rows_anti, outcomes_by_item, outcome_histogram,
-        structured_validation, quota_errors_by_batch, claim_window, mark_completed, mark_failed, batch_reset, cancel_nonterminal, release_and_requeue,
+        structured_validation, quota_errors_by_batch, claim_window, submitted_ids, mark_completed, mark_failed, batch_reset, cancel_nonterminal, release_and_requeue,
         run_summary, status_counts, active_batches, inflight_tokens, capacity_by_scope, terminal_sequence, terminal_page, artifact_inventory,
         ingest_replay_guard, ledger_latest_version, results_join_back, results_export_lines, event_stream_counts, retry_rounds_final,
         retry_rounds_structured, run_end_to_end,
@@ -448,6 +456,7 @@ ORACLES = {
       FROM (SELECT *, coalesce({_CLASS1}, CASE WHEN {_K} = 13 THEN 'invalid_json' END) AS e FROM {DOCS})""",
     "quota_errors_by_batch": f"SELECT {_BATCH_SQL} AS provider_batch_id, count(*) FILTER ({_K} = 7) AS quota_errors FROM {DOCS} GROUP BY 1",
     "claim_window": f"SELECT item_id, item_index, 'queued_local' AS status FROM {_MIXED} WHERE k IN (0, 4) AND attempt_count < {MAX_ATTEMPTS} ORDER BY item_index LIMIT 100",
+    "submitted_ids": f"SELECT (item_index % {BATCH})::INT AS pos, {_CID} AS custom_id FROM {_MIXED} WHERE k = 2",
     "mark_completed": f"""SELECT item_id, 'completed' AS status, 1::INT AS attempt_count, row_number() OVER (ORDER BY item_index) AS terminal_result_sequence, 'answer ' || doc_id AS output_text, true AS idle
       FROM {DOCS} WHERE {_CLASS1} IS NULL""",
     "mark_failed": f"""SELECT item_id, CASE WHEN p THEN 'failed_permanent' ELSE 'failed_retryable' END AS status, CASE WHEN p THEN 3 ELSE 2 END::INT AS attempt_count,
