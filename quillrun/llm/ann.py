@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches
+from .common import bound_batches
 
 #: Hash functions a table, tables, probes a table, and slot width in root-mean-square lengths.
 FUNCTIONS, TABLES, PROBES, WIDTH = 8, 6, 240, 2.0
 #: Vectors that a coarse cell should hold; how cells are cut changes no result.
 CELL = 6000
+#: Queries, and distances, that a task works on at a time.
+QUERIES, PAIRS = 4096, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,48 +96,81 @@ class Hashes:
         return slots.astype(np.int64), slots.astype(np.int64)[:, None] + moves.astype(np.int64)
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of float32 from a binary column of equal lengths, one copy at most."""
+    whole = column.combine_chunks()
+    chunks = whole.chunks if isinstance(whole, pa.ChunkedArray) else [whole]
+    rows = []
+    for c in chunks:
+        offsets = np.frombuffer(c.buffers()[1], "<i4")[c.offset : c.offset + len(c) + 1]
+        rows.append(np.frombuffer(c.buffers()[2], "<f4", (offsets[-1] - offsets[0]) // 4, offsets[0]).reshape(len(c), -1))
+    return rows[0] if len(rows) == 1 else np.concatenate(rows)
+
+
+def _merge(best_d: np.ndarray, best_i: np.ndarray, q: np.ndarray, d: np.ndarray, there: np.ndarray, k: int) -> None:
+    """Lowers the k best of the queries ``q`` by their distances ``d`` to the members ``there``."""
+    if d.shape[1] > k:
+        pick = np.argpartition(d, k - 1, axis=1)[:, :k]
+        d, i = np.take_along_axis(d, pick, axis=1), there[pick]
+    else:
+        i = np.broadcast_to(there, d.shape)
+    d, i = np.concatenate([best_d[q], d], axis=1), np.concatenate([best_i[q], i], axis=1)
+    pick = np.argpartition(d, k - 1, axis=1)[:, :k]
+    best_d[q] = np.take_along_axis(d, pick, axis=1)
+    best_i[q] = np.take_along_axis(i, pick, axis=1)
+
+
 def _nearest(block: pa.Table, k: int) -> pa.Table:
     """Within one coarse cell: for each vector that probes it, the k nearest of the
-    members in the buckets it probes, by exact distances."""
+    members in the buckets it probes, by exact distances.
+
+    Queries are taken QUERIES at a time and distances PAIRS at a time, so that what
+    is held besides the cell itself is of fixed size, however full a bucket is."""
     ids = block.column(1).to_numpy()
-    x = np.frombuffer(b"".join(block.column(2).to_pylist()), "<f4").reshape(len(ids), -1)
+    x = _vectors(block.column(2))
     own = block.column(3).to_numpy(zero_copy_only=False)
-    member = block.column(4).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(block.column(4).to_numpy(zero_copy_only=False))
     lists = block.column(5).combine_chunks()
-    probes = lists.values.to_numpy()[lists.offsets[0].as_py() :]
-    asks = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-    at = np.flatnonzero(member)
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     at = at[np.argsort(own[at], kind="stable")]
     buckets, first = np.unique(own[at], return_index=True)
     last = np.append(first[1:], len(at))
-    where = np.searchsorted(buckets, probes)
-    hit = (where < len(buckets)) & (buckets[np.minimum(where, len(buckets) - 1)] == probes) if len(buckets) else np.zeros(len(probes), bool)
-    asks, where = asks[hit], where[hit]
-    order = np.argsort(where, kind="stable")
-    asks, where = asks[order], where[order]
     norms = np.einsum("ij,ij->i", x, x)
-    best_d = np.full((len(ids), k), np.inf, np.float32)
-    best_i = np.full((len(ids), k), -1, np.int64)
-    cuts = np.flatnonzero(np.diff(where, prepend=-1, append=len(buckets) + 1))
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        there = at[first[where[lo]] : last[where[lo]]]
-        for q0 in range(lo, hi, 4096):
-            q = asks[q0 : min(hi, q0 + 4096)]
-            d = norms[q, None] + norms[None, there] - 2 * (x[q] @ x[there].T)
-            d[ids[q, None] == ids[None, there]] = np.inf
-            near = np.flatnonzero(d.min(axis=1) < best_d[q].max(axis=1))
-            if not len(near):
-                continue
-            q, d = q[near], d[near]
-            all_d = np.concatenate([best_d[q], d], axis=1)
-            all_i = np.concatenate([best_i[q], np.broadcast_to(there, d.shape)], axis=1)
-            pick = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-            best_d[q] = np.take_along_axis(all_d, pick, axis=1)
-            best_i[q] = np.take_along_axis(all_i, pick, axis=1)
-    q, c = np.nonzero(np.isfinite(best_d))
-    other = best_i[q, c]
-    exact = np.sqrt(((x[q].astype(np.float64) - x[other]) ** 2).sum(axis=1))
-    return pa.table({"id": pa.array(ids[q]), "other": pa.array(ids[other]), "d": pa.array(exact)})
+    found: list[tuple] = []
+    for low in range(0, len(ids) if len(buckets) else 0, QUERIES):
+        high = min(low + QUERIES, len(ids))
+        probes = values[offsets[low] : offsets[high]]
+        asks = np.repeat(np.arange(high - low, dtype=np.int32), np.diff(offsets[low : high + 1]))
+        where = np.searchsorted(buckets, probes)
+        hit = buckets[np.minimum(where, len(buckets) - 1)] == probes
+        asks, where = asks[hit], where[hit]
+        order = np.argsort(where, kind="stable")
+        asks, where = asks[order], where[order]
+        best_d = np.full((high - low, k), np.inf, np.float32)
+        best_i = np.full((high - low, k), -1, np.int64)
+        cuts = np.flatnonzero(np.diff(where, prepend=-1, append=len(buckets) + 1))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            members = at[first[where[lo]] : last[where[lo]]]
+            for m in range(0, len(members), 4096):
+                there = members[m : m + 4096]
+                step = max(1, PAIRS // len(there))
+                for q0 in range(lo, hi, step):
+                    q = asks[q0 : min(hi, q0 + step)]
+                    d = x[low + q] @ x[there].T
+                    d *= -2
+                    d += norms[low + q, None]
+                    d += norms[None, there]
+                    d[ids[low + q, None] == ids[None, there]] = np.inf
+                    near = np.flatnonzero(d.min(axis=1) < best_d[q].max(axis=1))
+                    if len(near):
+                        _merge(best_d, best_i, q[near], d[near], there, k)
+        q, c = np.nonzero(np.isfinite(best_d))
+        other = best_i[q, c]
+        exact = np.sqrt(((x[low + q].astype(np.float64) - x[other]) ** 2).sum(axis=1))
+        found.append((ids[low + q], ids[other], exact))
+    if not found:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    return pa.table(dict(zip(("id", "other", "d"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
 
 
 def nearest_neighbours(
@@ -172,12 +208,12 @@ def nearest_neighbours(
     coarse = min(functions, max(1, round(math.log(max(usual.c / cell, 1), 2.2))))
     hashes = Hashes(usual.n, math.sqrt(usual.s) or 1.0, coarse, functions, tables, probes, width)
 
-    def start():
-        def each(b: pa.RecordBatch) -> pa.RecordBatch:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Small batches leave one by one: a vector has hundreds of probes and a row a cell.
+        for b in batches:
             own_ids = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy().reshape(len(own_ids), -1)
-            out = []
-            for lo in range(0, len(x), 512):
+            x = b.column(1).flatten().to_numpy().reshape(len(own_ids), -1) if b.num_rows else np.zeros((0, 1))
+            for lo in range(0, len(own_ids), 512):
                 part, part_ids = x[lo : lo + 512], own_ids[lo : lo + 512]
                 raw = [r.tobytes() for r in part]
                 for t in range(tables):
@@ -192,26 +228,17 @@ def nearest_neighbours(
                     new = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(cells, prepend=cells[0]) != 0))
                     r = rows[new]
                     offsets = np.append(new, len(rows)).astype(np.int32)
-                    out.append(
-                        pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(cells[new]),
-                                pa.array(part_ids[r]),
-                                pa.array([raw[i] for i in r], pa.binary()),
-                                pa.array(home_fine[r]),
-                                pa.array(cells[new] == home[r]),
-                                pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets)),
-                            ],
-                            ["key", "id", "x", "own", "member", "probes"],
-                        )
-                    )
-            return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-
-        return each
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(cells[new]), pa.array(part_ids[r]), pa.array([raw[i] for i in r], pa.binary()), pa.array(home_fine[r]),
+                            pa.array(cells[new] == home[r]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets)),
+                        ],
+                        ["key", "id", "x", "own", "member", "probes"],
+                    )
 
     usable = given.where(fine & (F.size("v") == usual.n))
-    rows = map_batches(usable, start, "key bigint, id bigint, x binary, own bigint, member boolean, probes array<bigint>")
     bound_batches(spark)
+    rows = usable.mapInArrow(probe, "key bigint, id bigint, x binary, own bigint, member boolean, probes array<bigint>")
     pairs = rows.groupBy("key").applyInArrow(lambda block: _nearest(block, k), "id bigint, other bigint, d double")
     found = pairs.groupBy("id", "other").agg(F.min("d").alias("d")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "other"))).alias("e"))
     top = found.select("id", F.slice("e", 1, k).alias("e"))
