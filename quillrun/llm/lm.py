@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import gc
 import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches, materialize
+from .common import bound_batches, list_array, map_batches, materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CLASSES = 64
-#: A word is in the vocabulary if at least this part of all tokens is it: at any corpus size at most 1 / RATE words are.
-RATE = 5e-6
+#: A word that occurs this often has an id of its own, at any corpus size.
 LEAST = 2
 ROUNDS = 8
 FLUSH = 500_000
+#: Tokens of a chunk of texts; a text isn't divided.
+CHUNK = 500_000
 REMEMBERED = 300_000
 BOUNDARY, UNKNOWN = 0, 1
 
@@ -49,87 +52,180 @@ class Ids(dict):
         return value
 
 
-def sequences(texts: list[str | None], get) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, each between boundaries, and each text's number of tokens."""
-    flat: list[int] = []
-    sizes = []
-    for t in texts:
-        words = tokens(t) if t else []
-        flat.append(BOUNDARY)
-        flat += map(get, words)
-        sizes.append(len(words))
-    flat.append(BOUNDARY)
-    return np.array(flat, np.int64), np.array(sizes, np.int64)
+def bounded(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of texts one after another, each between boundaries; sizes: each text's number of tokens."""
+    out = np.full(len(flat) + len(sizes) + 1, BOUNDARY, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes + 1) - (sizes + 1)] = inside[-1] = False
+    out[inside] = flat
+    return out
 
 
-def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``word, n`` over all texts; combined within each task before the shuffle."""
+class Codes(dict):
+    """word -> its number in the chunk."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Texts in chunks of about ``chunk`` tokens, a row each: ``chunk, ids, sizes
+    (-1 for a null text), codes, words, counts``. A text's tokens are codes, which
+    number the distinct words of their own chunk: so what is joined to the
+    vocabulary is a row a word and chunk, and texts are read and cut once."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        known, codes, sizes, ids = Codes(), [], [], []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            flat = np.array(codes, np.int32)
+            one = lambda values: list_array(values, [len(values)])
+            columns = [
+                pa.array([uuid.uuid4().int >> 65]), one(pa.concat_arrays(ids)), one(pa.array(sizes, pa.int32())), one(pa.array(flat)),
+                one(pa.array(known.keys(), pa.string())), one(pa.array(np.bincount(flat, minlength=len(known)).astype(np.int64))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "codes", "words", "counts"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    counts.update(tokens(t))
-                    if len(counts) > FLUSH:
-                        yield out()
-                        counts.clear()
-        if counts:
+            for i, t in enumerate(b.column(1).to_pylist()):
+                words = tokens(t) if t else []
+                codes += map(known.__getitem__, words)
+                sizes.append(-1 if t is None else len(words))
+                ids.append(b.column(0).slice(i, 1))
+                if len(codes) + len(sizes) > chunk:
+                    yield out()
+                    known, codes, sizes, ids = Codes(), [], [], []
+        if sizes:
             yield out()
 
-    partial = docs.select(text_col).mapInArrow(run, "word string, n bigint")
-    return partial.groupBy("word").agg(F.sum("n").alias("n"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"chunk bigint, ids array<{kind}>, sizes array<int>, codes array<int>, words array<string>, counts array<bigint>"
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def word_counts(coded: DataFrame) -> DataFrame:
+    """``word, n`` over all chunks."""
+    each = coded.select(F.explode(F.arrays_zip("words", "counts")).alias("x"))
+    return each.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
+
+
+def build_vocabulary(counts: DataFrame, *, rate: float = 0.0, least: int = LEAST) -> DataFrame:
+    """``word, w``: the id of every word that occurs ``least`` times, of the suffix
+    pseudo-words of the others that do, and of boundary and unknown. It is a
+    written table and grows with the corpus; ``rate``, a least part of all tokens, is off."""
+    enough = F.lit(least)
+    if rate:
+        enough = F.lit(max(least, rate * (counts.agg(F.sum("n")).first()[0] or 0)))
+    words = counts.where(F.col("n") >= enough).select("word")
+    rest = counts.where(F.col("n") < enough).groupBy(_suffix("word").alias("word")).agg(F.sum("n").alias("n"))
+    words = words.union(rest.where(F.col("n") >= enough).select("word"))
+    numbered = words.withColumn("w", F.monotonically_increasing_id() + 2)
+    return materialize(numbered.union(_given(counts.sparkSession, SPECIAL)), "vocabulary")
+
+
+SPECIAL = ["\x00<s>", "\x00<unk>"]
+
 
+def _given(spark, words: list[str]) -> DataFrame:
+    return spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, w bigint")
 
-def build_vocabulary(counts: DataFrame, *, rate: float = RATE, least: int = LEAST) -> list[str]:
-    """Boundary, unknown, then words and suffix pseudo-words that are frequent
-    enough, most frequent first. Both kinds are bounded by 1 / rate at any size."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    enough = max(least, rate * total)
-    words = counts.where(F.col("n") >= enough).collect()
-    rest = counts.where(F.col("n") < enough).groupBy(F.concat(F.lit("\x00"), F.substring("word", -2, 2)).alias("word"))
-    words += rest.agg(F.sum("n").alias("n")).where(F.col("n") >= enough).collect()
-    words.sort(key=lambda r: (-r.n, r.word))
-    return ["\x00<s>", "\x00<unk>", *(r.word for r in words)]
+
+def _suffix(word: str):
+    return F.concat(F.lit("\x00"), F.substring(word, -2, 2))
+
+
+def with_words(coded: DataFrame, vocabulary: DataFrame, columns: list[str]) -> DataFrame:
+    """The chunks, each with the list ``e`` of its words' ``columns`` of the
+    vocabulary, in the order of their codes; a word without a row there has its suffix's, or
+    that of unknown words."""
+    unknown = vocabulary.where(F.col("w") == UNKNOWN).select(F.struct(*columns).alias("u"))  # one row
+    own = vocabulary.select("word", F.struct(*columns).alias("x"))
+    each = coded.select("chunk", F.posexplode("words").alias("code", "word")).join(own, "word", "left")
+    # Words that are known keep their own key, so that they are spread over the tasks.
+    key = F.when(F.col("x").isNull(), _suffix("word")).otherwise(F.col("word"))
+    suffixes = own.where(F.col("word").startswith("\x00")).select(F.col("word").alias("key"), F.col("x").alias("y"))
+    each = each.withColumn("key", key).join(suffixes, "key", "left").crossJoin(F.broadcast(unknown))
+    each = each.select("chunk", "code", F.coalesce("x", "y", "u").alias("x"))
+    return _in_chunks(coded, each, columns)
+
+
+def with_ids(spelled: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
+    """The same for chunks whose words have their ids already."""
+    each = spelled.select("chunk", F.posexplode("e_w").alias("code", "w"))
+    return _in_chunks(spelled, each.join(words.select("w", F.struct(*columns).alias("x")), "w"), columns)
+
+
+def _in_chunks(chunks: DataFrame, each: DataFrame, columns: list[str]) -> DataFrame:
+    lists = each.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("code", "x"))).alias("e"))
+    return chunks.drop("words", "counts").join(lists.select("chunk", *(F.col(f"e.x.{c}").alias(f"e_{c}") for c in columns)), "chunk", "left")
+
+
+def _forget(*tables: DataFrame) -> None:
+    """Deletes written tables that are no longer read, and what was shuffled for them."""
+    for t in tables:
+        spark = t.sparkSession
+        for path in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def _list(b: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+    x = b.column(name)[i].values
+    return np.zeros(0, np.int64) if x is None else x.to_numpy(zero_copy_only=False)
+
+
+def _spelled(b: pa.RecordBatch, i: int, *names: str) -> tuple[np.ndarray, ...]:
+    """Of one chunk: the sizes of its texts, and each of the words' columns along the tokens."""
+    codes = _list(b, "codes", i)
+    return _list(b, "sizes", i).astype(np.int64), *(_list(b, n, i)[codes] for n in names)
 
 
 def bigrams(docs: DataFrame, vocabulary: list[str], *, text_col: str = "text") -> DataFrame:
-    """``a, b, n`` over all texts, boundaries included, combined within each task."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary)
-    bound_batches(spark)
+    """``a, b, n`` over all texts with the given words, whose ids are their places."""
+    coded = materialize(encode(_texts(docs, text_col)), "coded")
+    return coded_bigrams(coded, _given(docs.sparkSession, vocabulary))
+
+
+def coded_bigrams(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``a, b, n`` over all chunks, boundaries included, combined within each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = Ids(sent.value).__getitem__
-        v = len(sent.value)
-        keys, counts, held = [], [], 0
+        pairs, held = [], 0
 
         def out():
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array((k // v).astype(np.int32)), pa.array((k % v).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
-
-        for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            for at in range(0, len(texts), 512):
-                ids, _ = sequences(texts[at : at + 512], get)
-                pairs = ids[:-1] * v + ids[1:]
-                k, n = np.unique(pairs[(ids[:-1] != BOUNDARY) | (ids[1:] != BOUNDARY)], return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-            if held > 4 * FLUSH:
-                yield out()
-                keys, counts, held = [], [], 0
+            p = np.concatenate(pairs, axis=1)
+            order = np.lexsort((p[1], p[0]))
+            p = p[:, order]
+            first = np.flatnonzero(np.any(np.diff(p[:2], axis=1, prepend=-1) != 0, axis=0))
+            n = np.add.reduceat(p[2], first)
+            return pa.RecordBatch.from_arrays([pa.array(p[0, first]), pa.array(p[1, first]), pa.array(n)], ["a", "b", "n"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes, codes = _list(batch, "sizes", i).astype(np.int64), _list(batch, "codes", i)
+                e = np.append(_list(batch, "e_w", i), BOUNDARY)
+                # Places in the chunk's list of words, which are few: a pair is one number.
+                at = bounded(codes.astype(np.int64) + 1, np.maximum(sizes, 0))
+                k, n = np.unique(at[:-1] * len(e) + at[1:], return_counts=True)
+                a, b = k // len(e), k % len(e)
+                some = (a > 0) | (b > 0)
+                pairs.append(np.stack([e[a - 1], e[b - 1], n])[:, some])
+                held += pairs[-1].shape[1]
+                if held > 4 * FLUSH:
+                    yield out()
+                    pairs, held = [], 0
         if held:
             yield out()
 
-    partial = docs.select(text_col).mapInArrow(run, "a int, b int, n bigint")
+    partial = with_words(coded, vocabulary, ["w"]).mapInArrow(run, "a bigint, b bigint, n bigint")
     return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -171,141 +267,249 @@ def best_move(n: np.ndarray, here: int, left: np.ndarray, right: np.ndarray, own
     return to, float(score[to] - score[here])
 
 
-def exchange(pairs: DataFrame, v: int, *, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the v words by exchange, and the class bigram counts.
+def best_moves(n: np.ndarray, here: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_move`` of many words at once: a row of left and right each."""
+    each, c = np.arange(len(here)), len(n)
+
+    def gains(m: np.ndarray, mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Sum over the classes h that mine meets of f(m'[:, h] + mine[h]) - f(m'[:, h]), m' without the word."""
+        w, h = np.nonzero(mine)
+        if not len(w):
+            return np.zeros(mine.shape)
+        base = m.T[h]
+        base[np.arange(len(w)), here[w]] -= raw_of[id(mine)][w, h]
+        same = np.flatnonzero(h == here[w])
+        base[same] -= raw_of[id(other)][w[same]]
+        base[same, here[w[same]]] += own[w[same]]
+        add = mine[w, h][:, None]
+        got = _xlogx(base + add) - _xlogx(base)
+        out = np.zeros(mine.shape)
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        out[w[first]] = np.add.reduceat(got, first, axis=0)
+        return out
+
+    l, r = left.copy(), right.copy()  # noqa: E741
+    l[each, here] -= own
+    r[each, here] -= own
+    raw_of = {id(l): left, id(r): right}
+    gain = gains(n, l, r) + gains(n.T, r, l)
+    d = np.broadcast_to(np.diag(n), left.shape).copy()
+    d[each, here] += own - left[each, here] - right[each, here]
+    o = own[:, None]
+    corner = _xlogx(d + l + r + o) - _xlogx(d + l) - _xlogx(d + r) + _xlogx(d)
+    rows, cols = np.broadcast_to(n.sum(axis=1), left.shape) - right, np.broadcast_to(n.sum(axis=0), left.shape) - left
+    rows[each, here] += own - left.sum(axis=1)
+    cols[each, here] += own - right.sum(axis=1)
+    out, into = l.sum(axis=1)[:, None] + o, r.sum(axis=1)[:, None] + o
+    margin = _xlogx(rows + r + out) - _xlogx(rows + r) + _xlogx(cols + l + into) - _xlogx(cols + l)
+    score = gain + corner - margin
+    score[:, BOUNDARY] = -np.inf
+    to = score.argmax(axis=1)
+    return to, score[each, to] - score[each, here]
+
+
+def class_bigrams(spelled: DataFrame, classes: DataFrame, c: int) -> DataFrame:
+    """``w, c, l, r, o``: how often a word is followed by, and preceded by, words
+    of a class, and (in the row of its own class) by itself; combined within each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums, held = [], [], 0
+
+        def out():
+            k, at = np.unique(np.concatenate(keys), return_inverse=True)
+            columns = [np.bincount(at, np.concatenate(x)).astype(np.int64) for x in zip(*sums)]
+            return pa.RecordBatch.from_arrays([pa.array(k // c), pa.array((k % c).astype(np.int32)), *map(pa.array, columns)], ["w", "c", "l", "r", "o"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes, codes = np.maximum(_list(batch, "sizes", i).astype(np.int64), 0), _list(batch, "codes", i)
+                w, first, place = np.unique(_list(batch, "e_w", i), return_index=True, return_inverse=True)
+                cls = np.append(0, _list(batch, "e_c", i)[first])
+                w = np.append(BOUNDARY, w)
+                at = bounded(place[codes] + 1, sizes)
+                a, b = at[:-1], at[1:]
+                some = (a > 0) | (b > 0)
+                a, b = a[some], b[some]
+                size = len(w) * c
+                left, right = np.bincount(a * c + cls[b], minlength=size), np.bincount(b * c + cls[a], minlength=size)
+                same = a[a == b]
+                own = np.bincount(same * c + cls[same], minlength=size)
+                k = np.flatnonzero(left + right)
+                keys.append(w[k // c] * c + k % c)
+                sums.append((left[k], right[k], own[k]))
+                held += len(k)
+                if held > 4 * FLUSH:
+                    yield out()
+                    keys, sums, held = [], [], 0
+        if held:
+            yield out()
+
+    found = with_ids(spelled.select("chunk", "sizes", "codes", "e_w"), classes, ["c"])
+    return found.mapInArrow(run, "w bigint, c int, l bigint, r bigint, o bigint")
+
 
-    In a round every word's bigram counts by class come from one aggregation of
-    the bigram table; in parallel each word's best move is found with all others
-    held, and of the words whose turn it is those that gain move. Where moving
-    together lowers the objective, the round is undone and fewer move. What the
-    driver and the tasks hold are v words' classes and classes x classes counts."""
-    spark = pairs.sparkSession
-    c = min(classes, max(v - 1, 1)) + 1
-    own_class = np.concatenate([[0], 1 + np.arange(v - 1) % (c - 1)]) if v > 1 else np.zeros(v, np.int64)
-    best, best_n, best_f, part = own_class, None, -np.inf, 2
-    tried = own_class
+def exchange(spelled: DataFrame, vocabulary: DataFrame, *, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Classes of the words by exchange (``w, h, c``), their counts (``w, n``), and
+    the class bigram counts.
+
+    In a round every word's bigram counts by class come from one pass over the
+    chunks; in parallel each word's best move is found with all others held, and
+    of the words whose turn it is those that gain move. Where moving together
+    lowers the objective, the round is undone and fewer move. Classes and moves
+    are written tables; the driver and the tasks hold classes x classes counts."""
+    spark = spelled.sparkSession
+    c = min(classes, max(vocabulary.count() - 1, 1)) + 1
+    first = F.when(F.col("w") == BOUNDARY, 0).otherwise(F.pmod("h", F.lit(c - 1)) + 1).cast("int")
+    tried = materialize(vocabulary.select("w", F.xxhash64("word").alias("h")).withColumn("c", first), "classes")
+    best, best_n, best_f, part, moves, counts = tried, None, -np.inf, 2, None, None
     for r in range(rounds + 1):
-        table = spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(tried)], "w int, c int")
-        # Of at most 1 / RATE words, by construction of the vocabulary.
-        small = F.broadcast(table)
-        left = pairs.join(small, F.col("b") == F.col("w")).groupBy(F.col("a").alias("w"), F.col("c")).agg(F.sum("n").alias("l"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))).alias("o"))
-        right = pairs.join(small, F.col("a") == F.col("w")).groupBy(F.col("b").alias("w"), F.col("c")).agg(F.sum("n").alias("r"))
-        rows = left.select("w", "c", "l", F.lit(0).cast("bigint").alias("r"), "o").union(right.select("w", "c", F.lit(0).cast("bigint"), "r", F.lit(0).cast("bigint")))
-        words = rows.groupBy("w").agg(
-            F.collect_list(F.struct("c", "l", "r")).alias("e"), F.sum("o").alias("o")
-        )  # at most two entries a class
-        words = materialize(words, "words")
+        met = class_bigrams(spelled, tried, c).repartition("w")
+        met = met.groupBy("w", "c").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum("o").alias("o"))
+        words = met.groupBy("w").agg(F.collect_list(F.struct("c", "l", "r")).alias("e"), F.sum("o").alias("o"))  # an entry a class
+        words = materialize(words.join(tried, "w").select("w", "c", "e", "o"), "words")
+        if counts is None:
+            counts = materialize(words.select("w", F.aggregate("e.r", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("n")), "counts")
         n = np.zeros((c, c))
-        mine = words.select("w", F.explode("e").alias("e")).join(small.withColumnRenamed("c", "g"), "w")
+        mine = words.select(F.col("c").alias("g"), F.explode("e").alias("e"))
         for x in mine.groupBy("g", "e.c").agg(F.sum("e.l")).collect():
             n[x[0], x[1]] = x[2]
         f = objective(n)
-        if f > best_f:
+        better = f > best_f
+        old = [words]
+        if better:
+            old += [best] if best is not tried else []
             best, best_n, best_f = tried, n, f
         else:
+            old.append(tried)
             part *= 2
         if r == rounds:
+            _forget(*old)
             break
-        sent = spark.sparkContext.broadcast((best_n, best))
-
-        def start():
-            counts, cls = sent.value
-
-            def each(b: pa.RecordBatch) -> pa.RecordBatch:
-                to, gain = [], []
-                for w, e, o in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                    e = e.values
-                    at = e.field(0).to_numpy()
-                    lr = np.zeros((2, len(counts)))
-                    np.add.at(lr[0], at, e.field(1).to_numpy())
-                    np.add.at(lr[1], at, e.field(2).to_numpy())
-                    t, g = best_move(counts, int(cls[w]), lr[0], lr[1], float(o or 0))
-                    to.append(t)
-                    gain.append(g)
-                return pa.RecordBatch.from_arrays([b.column(0), pa.array(to, pa.int32()), pa.array(gain, pa.float64())], ["w", "t", "gain"])
-
-            return each
-
-        if tried is best:
-            turn = words.where((F.col("w") != BOUNDARY))
-            moves = map_batches(turn, start, "w int, t int, gain double").where("gain > 1e-6").collect()
-            moves = sorted(((x.w, x.t) for x in moves))
-        if not moves:
+        if better:
+            sent = spark.sparkContext.broadcast(best_n)
+
+            def start(sent=sent):
+                held = sent.value
+
+                def each(b: pa.RecordBatch) -> pa.RecordBatch:
+                    to, gain = [], []
+                    for at in range(0, b.num_rows, 256):
+                        x = b.slice(at, 256)
+                        e, sizes = x.column(2).flatten().flatten(), x.column(2).value_lengths().to_numpy()
+                        row = np.repeat(np.arange(x.num_rows), sizes)
+                        lr = np.zeros((2, x.num_rows, len(held)))
+                        for k in range(2):
+                            lr[k, row, e[0].to_numpy()] = e[k + 1].to_numpy()
+                        own = x.column(3).fill_null(0).to_numpy().astype(float)
+                        t, g = best_moves(held, x.column(1).to_numpy(), lr[0], lr[1], own)
+                        to.append(t)
+                        gain.append(g)
+                    return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(to).astype(np.int32)), pa.array(np.concatenate(gain))], ["w", "t", "gain"])
+
+                return each
+
+            turn = words.where(F.col("w") != BOUNDARY).select("w", "c", "e", "o")
+            moves = materialize(map_batches(turn, start, "w bigint, t int, gain double").where("gain > 1e-6").select("w", "t"), "moves")
+            sent.unpersist()
+        _forget(*old)
+        if moves.isEmpty():
             break
-        tried = best.copy()
-        for w, t in moves:
-            if (w * 2654435761 >> 8) % part == r % part:
-                tried[w] = t
-        sent.unpersist()
-    return best, best_n
+        now = (F.pmod("h", F.lit(part)) == r % part) & F.col("t").isNotNull()
+        tried = materialize(best.join(moves, "w", "left").select("w", "h", F.when(now, F.col("t")).otherwise(F.col("c")).alias("c")), "classes")
+    return best, counts, best_n
 
 
 @dataclass(frozen=True)
 class Model:
-    vocabulary: list[str]
-    classes: np.ndarray  # of each word
-    transition: np.ndarray  # log P(class | class before)
-    emission: np.ndarray  # log P(word | class)
+    """The words with their ids, classes and log P(word | class) are a written
+    table, ``word, w, c, e``; what is held is log P(class | class before)."""
+
+    words: DataFrame
+    transition: np.ndarray
+
+    @cached_property
+    def _rows(self) -> list:
+        """All words on the driver: for small models only."""
+        return self.words.orderBy("w").collect()
 
-    def log_probs(self, texts: list[str | None], get) -> tuple[np.ndarray, np.ndarray]:
-        ids, sizes = sequences(texts, get)
-        cls = self.classes[ids]
-        each = self.transition[cls[:-1], cls[1:]] + self.emission[ids[1:]]
-        starts = np.cumsum(sizes + 1) - (sizes + 1)
-        return np.add.reduceat(each, starts), sizes
+    @property
+    def vocabulary(self) -> list[str]:
+        return [r.word for r in self._rows]
 
+    @property
+    def classes(self) -> np.ndarray:
+        return np.array([r.c for r in self._rows])
 
-def smooth(vocabulary: list[str], classes: np.ndarray, n: np.ndarray, word: np.ndarray, *, prior: float = 64.0, add: float = 0.5) -> Model:
+    @property
+    def emission(self) -> np.ndarray:
+        return np.array([r.e for r in self._rows])
+
+
+def smooth(vocabulary: DataFrame, classes: DataFrame, n: np.ndarray, counts: DataFrame, *, prior: float = 64.0, add: float = 0.5) -> Model:
     """Transitions are smoothed towards the classes' own frequencies by ``prior``
     pseudo-counts, emissions by ``add`` a word; nothing has probability 0."""
     c = len(n)
     base = (n.sum(axis=0) + 1.0) / (n.sum() + c)
     transition = (n + prior * base) / (n.sum(axis=1, keepdims=True) + prior)
-    size = np.bincount(classes, minlength=c)
-    mass = np.bincount(classes, word, minlength=c) + add * size
-    return Model(vocabulary, classes, np.log(transition), np.log((word + add) / mass[classes]))
+    words = vocabulary.join(classes.select("w", "c"), "w").join(counts, "w", "left")
+    words = materialize(words.select("word", "w", "c", (F.coalesce("n", F.lit(0)) + add).alias("n")), "counted")
+    mass = words.groupBy("c").agg(F.sum("n").alias("mass"))  # a row a class
+    words = words.join(F.broadcast(mass), "c").select("word", "w", "c", F.log(F.col("n") / F.col("mass")).alias("e"))
+    return Model(materialize(words, "model"), np.log(transition))
+
+
+def train(docs: DataFrame, *, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = 0.0, text_col: str = "text") -> Model:
+    """Count words over all texts, cluster, estimate. Texts cut into tokens, counts
+    and classes are written to the shared folder and read from there."""
+    coded = materialize(encode(_texts(docs, text_col)), "coded")
+    return coded_model(coded, classes=classes, rounds=rounds, rate=rate)[0]
 
 
-def train(docs: DataFrame, *, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = RATE, text_col: str = "text") -> Model:
-    """Count words, then bigrams, over all texts; cluster; estimate. Both counts
-    are written to the shared folder and read from there."""
-    vocabulary = build_vocabulary(materialize(word_counts(docs, text_col=text_col), "words"), rate=rate)
-    pairs = materialize(bigrams(docs, vocabulary, text_col=text_col), "bigrams")
-    cls, n = exchange(pairs, len(vocabulary), classes=classes, rounds=rounds)
-    word = np.zeros(len(vocabulary))
-    for r in pairs.groupBy("b").agg(F.sum("n")).collect():
-        word[r[0]] = r[1]
-    return smooth(vocabulary, cls, n, word)
+def coded_model(coded: DataFrame, *, classes: int, rounds: int, rate: float) -> tuple[Model, DataFrame]:
+    """The model, and the chunks with their words' ids in it; ``coded`` is deleted."""
+    vocabulary = build_vocabulary(materialize(word_counts(coded), "words"), rate=rate)
+    spelled = materialize(with_words(coded, vocabulary, ["w"]), "spelled")
+    _forget(coded)
+    cls, counts, n = exchange(spelled, vocabulary, classes=classes, rounds=rounds)
+    return smooth(vocabulary, cls, n, counts), spelled
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, log_prob, perplexity`` of each document under the model,
-    which is broadcast: at most 2 / RATE words. Perplexity is for each token and
-    the end. A null text has nulls; one without tokens is an end alone; null and
-    repeated ids give a row each; other columns are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def start():
-        m = sent.value
-        get = Ids(m.vocabulary).__getitem__
-
-        def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = b.column(1).to_pylist()
-            parts = [m.log_probs(texts[i : i + 512], get) for i in range(0, len(texts), 512)]
-            logp, sizes = (np.concatenate(x) for x in zip(*parts))
-            none = np.array([t is None for t in texts])
-            return pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, mask=none), pa.array(logp, mask=none), pa.array(np.exp(-logp / (sizes + 1)), mask=none)],
-                ["doc_id", "n_tokens", "log_prob", "perplexity"],
-            )
-
-        return each
+    whose words are joined. Perplexity is for each token and the end. A null text
+    has nulls; one without tokens is an end alone; null and repeated ids give a
+    row each; other columns are ignored."""
+    return _scores(with_words(materialize(encode(docs, id_col=id_col, text_col=text_col), "coded"), model.words, ["c", "e"]), model)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col), F.col(text_col)), start, f"doc_id {kind}, n_tokens bigint, log_prob double, perplexity double")
 
+def _scores(spelled: DataFrame, model: Model) -> DataFrame:
+    special = model.words.where(F.col("w") == BOUNDARY).select("c", "e").first()
+    transition, edge = model.transition, (special.c, special.e)
 
-def perplexities(docs: DataFrame, *, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                given, c, e = _spelled(b, i, "e_c", "e_e")
+                sizes = np.maximum(given, 0)
+                inside = np.ones(len(c) + len(sizes) + 1, bool)
+                inside[np.cumsum(sizes + 1) - (sizes + 1)] = inside[-1] = False
+                cls, em = np.full(len(inside), edge[0], np.int64), np.full(len(inside), edge[1])
+                cls[inside], em[inside] = c, e
+                each = transition[cls[:-1], cls[1:]] + em[1:]
+                logp = np.add.reduceat(each, np.cumsum(sizes + 1) - (sizes + 1))
+                none = given < 0
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("ids")[i].values, pa.array(sizes, mask=none), pa.array(logp, mask=none), pa.array(np.exp(-logp / (sizes + 1)), mask=none)],
+                    ["doc_id", "n_tokens", "log_prob", "perplexity"],
+                )
+
+    kind = spelled.schema["ids"].dataType.elementType.simpleString()
+    return spelled.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_prob double, perplexity double")
+
+
+def perplexities(docs: DataFrame, *, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = 0.0) -> DataFrame:
     """Each document's score under the model of all of them; see ``train`` and
     ``score``. An empty table gives none."""
-    return score(docs, train(docs, classes=classes, rounds=rounds, rate=rate))
+    coded = materialize(encode(docs), "coded")
+    model, spelled = coded_model(coded, classes=classes, rounds=rounds, rate=rate)
+    return _scores(with_ids(spelled, model.words, ["c", "e"]), model)

@@ -255,6 +255,26 @@ def test_bigrams_against_a_loop(spark):
     assert got == want
 
 
+def test_moves_of_many_words_are_those_of_each():
+    rng = np.random.default_rng(4)
+    pairs = rng.poisson(0.3, (60, 60)).astype(float)
+    cls = np.concatenate([[0], 1 + np.arange(59) % 7])
+    n = np.zeros((8, 8))
+    np.add.at(n, (cls[:, None], cls[None]), pairs)
+    left, right = (np.stack([np.bincount(cls, x, minlength=8) for x in m[1:]]) for m in (pairs, pairs.T))
+    to, gain = lm.best_moves(n, cls[1:], left, right, np.diag(pairs)[1:])
+    for i in range(59):
+        t, g = lm.best_move(n, int(cls[i + 1]), left[i], right[i], pairs[i + 1, i + 1])
+        assert abs(g - gain[i]) < 1e-6 and (t == to[i] or g < 1e-6)
+
+
+def test_words_keep_their_ids_in_a_large_corpus(spark):
+    texts = ["the " * 100_000] * 8 + ["a quagga ran"] * 3 + ["one xylem"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.train(df, classes=3, rounds=1)
+    assert {"the", "a", "quagga", "ran"} <= set(model.vocabulary) and "xylem" not in model.vocabulary
+
+
 # Mixing
 
 
