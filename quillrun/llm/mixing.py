@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: The most that the exponent of any document may be: exp of it is finite, and so are sums of many.
+MOST = 600.0
+#: Margins further off their targets than this part are reported.
+REPORTED = 1e-6
 #: The two margins that the targets hold: tokens by source and tokens by language.
 MARGINS = ("source", "lang")
 
@@ -56,6 +61,9 @@ def balance(
     (source, language) cell, sum w, sum w t and sum w t^2 at the current
     multipliers: one aggregation over all documents an iteration, of which only a
     row a cell reaches the driver. A step that doesn't lower the dual is halved.
+    No document's exponent may pass MOST, which is held by each cell's own longest
+    document; how far below zero one is doesn't matter. Targets that aren't met to
+    a part of REPORTED are warned of, and ``gap`` says how far off they are.
     The dual is flat where margins depend on each other (both sum to the budget),
     which the least-squares solution of a step settles.
 
@@ -92,6 +100,7 @@ def balance(
             got[:, where[r[0], r[1]]] = r[2], r[3], r[4]
         return got[0], got[1], got[2]
 
+    longest = np.array([float(r["m"]) for r in totals]) / scale
     unit = whole / scale
     theta = np.zeros(len(a))
     w0, w1, w2 = sums(a.T @ theta)
@@ -105,18 +114,24 @@ def balance(
         size = 1.0
         while True:
             tried = theta + size * step
-            if np.abs(a.T @ tried).max() < 60:
+            if (a.T @ tried * longest).max() < MOST:
                 n0, n1, n2 = sums(a.T @ tried)
                 new = n0.sum() / unit - goal @ tried
                 if new <= value + 1e-4 * size * (gradient @ step) or size < 1e-6:
                     break
             elif size < 1e-6:
-                return Balance(cells, a.T @ theta, scale, done, gap)
+                tried = None
+                break
             size /= 2
+        if tried is None:
+            break
         stalled = value - new <= 1e-15 * abs(value) and size < 1e-6
         theta, value, w1, w2 = tried, new, n1, n2
         if stalled:
             break
+    gap = float(np.abs((a @ w1 / unit - goal) / goal).max())
+    if not gap <= REPORTED:
+        warnings.warn(f"mixing: after {done} iterations a margin is off its target by a part of {gap:.3g}", RuntimeWarning, stacklevel=2)
     return Balance(cells, a.T @ theta, scale, done, gap)
 
 

@@ -302,6 +302,31 @@ def test_margins_are_met(spark):
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_margins_are_met_beside_a_very_long_document(spark):
+    rng = np.random.default_rng(6)
+    size = np.clip(rng.lognormal(5.5, 1, 4000), 1, 5000).astype(int)
+    rows = [("abc"[rng.choice(3, p=[0.8, 0.15, 0.05])], "xy"[i % 2], int(t)) for i, t in enumerate(size)] + [("a", "x", 1_000_000)]
+    df = spark.createDataFrame(rows, "source string, lang string, __t long")
+    found = mixing.balance(df)
+    assert found.gap < 1e-6
+    lam = dict(zip(found.cells, found.lam))
+    kept, there = {}, {}
+    for s, g, t in rows:
+        for k in (s, g):
+            kept[k] = kept.get(k, 0) + t * math.exp(lam[s, g] * t / found.scale)
+            there[k] = there.get(k, 0) + t
+    for names in ("abc", "xy"):
+        goal = mixing.tempered({k: there[k] for k in names}, 0.7)
+        assert all(abs(kept[k] / sum(there[x] for x in names) / goal[k] - 1) < 1e-5 for k in names)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    df = spark.createDataFrame([("a", "x", 10), ("a", "x", 20), ("b", "y", 10)], "source string, lang string, __t long")
+    with pytest.warns(RuntimeWarning, match="off its target"):
+        found = mixing.balance(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}})
+    assert found.gap > 0.01 and np.isfinite(found.lam).all()
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, "a", "en"), (2, "", None, None), (3, "x " * 50_000, "a", "en"), (3, "y", "a", None), (None, "z z", "b", "en"), (None, "z z", "b", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
