@@ -32,8 +32,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and byte spans of every copy."""
-    return piece_codec.encode_pieces(docs)
+    """Piece ids and byte spans of every copy, and the text that the ids decode to."""
+    return piece_codec.encode_pieces(docs, decoded=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -201,17 +201,22 @@ class Codec:
         after = np.searchsorted(where, where[stops - 1], side="right")
         return np.where(after < len(where), where[np.minimum(after, len(where) - 1)], where[-1])
 
+    @cached_property
+    def spelled(self) -> list[bytes]:
+        """The bytes that each piece stands for."""
+
+        def one(i: int, name: str) -> bytes:
+            if i in self.bytes:
+                return bytes([self.bytes[i]])
+            if i == self.unknown:
+                return " ⁇ ".encode()
+            return b"" if i in self.silent else name.encode()
+
+        return [one(i, name) for i, name in enumerate(self.names)]
+
     def decode(self, ids) -> str:
         """The text of pieces; bytes that aren't UTF-8 become U+FFFD."""
-        out = bytearray()
-        for i in ids:
-            if i in self.bytes:
-                out.append(self.bytes[i])
-            elif i == self.unknown:
-                out += " ⁇ ".encode()
-            elif i not in self.silent:
-                out += self.names[i].encode()
-        text = out.replace(_SPACE, b" ").decode("utf-8", "replace")
+        text = b"".join(map(self.spelled.__getitem__, ids)).replace(_SPACE, b" ").decode("utf-8", "replace")
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
@@ -220,15 +225,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT) -> DataFrame:
+def encode_pieces(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT, decoded: bool = False
+) -> DataFrame:
     """One row a document: ``doc_id, ids, begins, ends``; piece k comes from bytes
     begins[k] to ends[k] of the UTF-8 text. No shuffle; two columns are read.
 
     Several pieces of one replaced character share its span. The dummy prefix is
     no part of the text, so a piece of it alone has an empty span. A null text
     has null lists, an empty one empty lists; null ids stay; rows that repeat give
-    a row each; an empty table gives none; other columns are ignored.
+    a row each; an empty table gives none; other columns are ignored. With
+    ``decoded`` the text of the ids follows, as ``decode_pieces`` gives it.
     """
+    names = ["doc_id", "ids", "begins", "ends", *(["decoded"] if decoded else [])]
 
     def start():
         c = codec(model_path)
@@ -245,14 +254,15 @@ def encode_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 if b.column(1).null_count:
                     lists = pa.compute.if_else(null, pa.scalar(None, lists.type), lists)
                 columns.append(lists)
-            return pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "ids", "begins", "ends"])
+            if decoded:
+                columns.append(pa.array([None if t is None else c.decode(x[0].tolist()) for t, x in zip(texts, found)], pa.string()))
+            return pa.RecordBatch.from_arrays([b.column(0), *columns], names)
 
         return each
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(
-        docs.select(F.col(id_col), F.col(text_col)), start, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>"
-    )
+    schema = f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>" + (", decoded string" if decoded else "")
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), start, schema)
 
 
 def decode_pieces(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", model_path: str = DEFAULT) -> DataFrame:

@@ -46,7 +46,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_pieces(_table(spark, sf_dir, "documents"))
+    return piece_codec.encode_pieces(_table(spark, sf_dir, "documents"), decoded=True)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

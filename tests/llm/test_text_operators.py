@@ -9,7 +9,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
-from quillrun.llm import bpe, chat, fingerprints, piece_codec, token_counts, token_output
+from quillrun.llm import bpe, chat, fingerprints, piece_codec, queries, token_counts, token_output
 
 ODD = [
     None, "", " ", "\n\n", "a", "Hello, world! It's 42°", "x" * 50_000, "  two  spaces\t\ttabs\r\n", "naïve café ﬁ ½ Å", "日本語のテキスト", "🙂👩‍👩‍👧 emoji",
@@ -220,6 +220,17 @@ def test_pieces_round_trip(spark):
     assert {i: v[0][0] for i, v in got.items()} == dict(enumerate(plain))
 
 
+def test_the_query_decodes_what_it_encodes(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.DEFAULT)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.op9_sentencepiece(spark, sf_dir).collect()
+    assert len(got) == len(texts) and all(r.decoded == sp.decode(list(r.ids)) for r in got)
+    assert all(r.decoded == texts[r.doc_id] for r in got if "▁" not in texts[r.doc_id])
+    odd = by_id(piece_codec.encode_pieces(docs(spark), decoded=True), "decoded")
+    assert (None,) in odd[0]
+
+
 def trie(pairs):
     """A compiled map of single-byte keys, by hand: root at 0, children at base ^ byte."""
     units = [0] * 1024
