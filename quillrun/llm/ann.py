@@ -107,22 +107,52 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return rows[0] if len(rows) == 1 else np.concatenate(rows)
 
 
-def _merge(best_d: np.ndarray, best_i: np.ndarray, q: np.ndarray, d: np.ndarray, there: np.ndarray, k: int) -> None:
-    """Lowers the k best of the queries ``q`` by their distances ``d`` to the members ``there``."""
-    if d.shape[1] > k:
-        pick = np.argpartition(d, k - 1, axis=1)[:, :k]
-        d, i = np.take_along_axis(d, pick, axis=1), there[pick]
-    else:
-        i = np.broadcast_to(there, d.shape)
-    d, i = np.concatenate([best_d[q], d], axis=1), np.concatenate([best_i[q], i], axis=1)
-    pick = np.argpartition(d, k - 1, axis=1)[:, :k]
-    best_d[q] = np.take_along_axis(d, pick, axis=1)
-    best_i[q] = np.take_along_axis(i, pick, axis=1)
+def _exact(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows a and b of x; those of equal vectors are equal."""
+    out = np.empty(len(a))
+    for lo in range(0, len(a), 1 << 15):
+        d = x[a[lo : lo + (1 << 15)]].astype(np.float64) - x[b[lo : lo + (1 << 15)]]
+        out[lo : lo + len(d)] = (d * d).sum(axis=1)
+    return out
+
+
+def _cut(d: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Of each row of d, the k-th least among the least of each name; inf with fewer than k names."""
+    unique, first = np.unique(names, return_index=True)
+    if len(unique) < len(names):
+        order = np.argsort(names, kind="stable")
+        starts = np.flatnonzero(np.diff(names[order], prepend=names[order[0]] - 1))
+        d = np.minimum.reduceat(d[:, order], starts, axis=1)
+    if d.shape[1] < k:
+        return np.full(len(d), np.inf, np.float32)
+    return np.partition(d, k - 1, axis=1)[:, k - 1]
+
+
+def _merge(best_d: np.ndarray, best_i: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, x: np.ndarray, low: int, k: int) -> None:
+    """Lowers the k best distinct ids of the queries ``q`` by the candidates: rows b
+    for the queries q[a], by exact squared distance and then by id."""
+    held_q, held_c = np.nonzero(np.isfinite(best_d[q]))
+    rows = np.concatenate([held_q, a])
+    d = np.concatenate([best_d[q[held_q], held_c], _exact(x, low + q[a], b)])
+    names = np.concatenate([best_i[q[held_q], held_c], ids[b]])
+    order = np.lexsort((d, names, rows))
+    rows, d, names = rows[order], d[order], names[order]
+    new = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(names, prepend=0) != 0))  # the nearest row of an id
+    rows, d, names = rows[new], d[new], names[new]
+    order = np.lexsort((names, d, rows))
+    rows, d, names = rows[order], d[order], names[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    some = place < k
+    best_d[q], best_i[q] = np.inf, -1
+    best_d[q[rows[some]], place[some]] = d[some]
+    best_i[q[rows[some]], place[some]] = names[some]
 
 
 def _nearest(block: pa.Table, k: int) -> pa.Table:
-    """Within one coarse cell: for each vector that probes it, the k nearest of the
-    members in the buckets it probes, by exact distances.
+    """Within one coarse cell: for each vector that probes it, the k nearest ids of
+    the members in the buckets it probes, by exact distances and then by id. Float
+    products only choose candidates, with room for their rounding.
 
     Queries are taken QUERIES at a time and distances PAIRS at a time, so that what
     is held besides the cell itself is of fixed size, however full a bucket is."""
@@ -136,6 +166,7 @@ def _nearest(block: pa.Table, k: int) -> pa.Table:
     buckets, first = np.unique(own[at], return_index=True)
     last = np.append(first[1:], len(at))
     norms = np.einsum("ij,ij->i", x, x)
+    room = 4e-7 * x.shape[1] * (norms + norms.max(initial=0))  # more than the products' error
     found: list[tuple] = []
     for low in range(0, len(ids) if len(buckets) else 0, QUERIES):
         high = min(low + QUERIES, len(ids))
@@ -146,7 +177,7 @@ def _nearest(block: pa.Table, k: int) -> pa.Table:
         asks, where = asks[hit], where[hit]
         order = np.argsort(where, kind="stable")
         asks, where = asks[order], where[order]
-        best_d = np.full((high - low, k), np.inf, np.float32)
+        best_d = np.full((high - low, k), np.inf)
         best_i = np.full((high - low, k), -1, np.int64)
         cuts = np.flatnonzero(np.diff(where, prepend=-1, append=len(buckets) + 1))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -161,13 +192,15 @@ def _nearest(block: pa.Table, k: int) -> pa.Table:
                     d += norms[low + q, None]
                     d += norms[None, there]
                     d[ids[low + q, None] == ids[None, there]] = np.inf
-                    near = np.flatnonzero(d.min(axis=1) < best_d[q].max(axis=1))
+                    limit = best_d[q].max(axis=1) + room[low + q]
+                    near = np.flatnonzero(d.min(axis=1) <= limit)
                     if len(near):
-                        _merge(best_d, best_i, q[near], d[near], there, k)
+                        d, q = d[near], q[near]
+                        limit = np.minimum(limit[near], _cut(d, ids[there], k) + 2 * room[low + q])
+                        a, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                        _merge(best_d, best_i, q, a, there[c], ids, x, low, k)
         q, c = np.nonzero(np.isfinite(best_d))
-        other = best_i[q, c]
-        exact = np.sqrt(((x[low + q].astype(np.float64) - x[other]) ** 2).sum(axis=1))
-        found.append((ids[low + q], ids[other], exact))
+        found.append((ids[low + q], best_i[q, c], np.sqrt(best_d[q, c])))
     if not found:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     return pa.table(dict(zip(("id", "other", "d"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
@@ -185,8 +218,8 @@ def nearest_neighbours(
     the perturbed ones likeliest to hold near vectors, ``probes`` a table, by the
     distances to its slots' borders. A table's first slots name a coarse cell: a
     vector travels once to each cell it probes, with the list of buckets there, and
-    buckets are joined inside the cell; of each cell only a query's k nearest leave
-    it. How many slots name a cell follows the number of vectors, so that a cell
+    buckets are joined inside the cell; of each cell only a query's k nearest ids
+    leave it. How many slots name a cell follows the number of vectors, so that a cell
     stays of about ``cell`` vectors; it changes no result.
 
     A null vector, one with nulls or values that aren't finite, or of another length
@@ -236,7 +269,7 @@ def nearest_neighbours(
                         ["key", "id", "x", "own", "member", "probes"],
                     )
 
-    usable = given.where(fine & (F.size("v") == usual.n))
+    usable = given.where(fine & (F.size("v") == usual.n)).distinct()  # a row that repeats adds nothing
     bound_batches(spark)
     rows = usable.mapInArrow(probe, "key bigint, id bigint, x binary, own bigint, member boolean, probes array<bigint>")
     pairs = rows.groupBy("key").applyInArrow(lambda block: _nearest(block, k), "id bigint, other bigint, d double")

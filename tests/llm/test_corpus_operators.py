@@ -49,6 +49,28 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_are_distinct_ids_and_ties_go_to_the_least(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 8)).astype(np.float32)
+    once = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = [(70, (x[0] + 1e-3 * (j + 1)).tolist()) for j in range(15)]  # many near rows of one id
+    same = [(i, [9.0] * 8) for i in range(120, 99, -1)]  # more equal vectors than k
+    schema = "vec_id long, embedding array<float>"
+    rows = once + near + same
+    want = {r.vec_id: r.neighbours for r in ann.nearest_neighbours(spark.createDataFrame(rows, schema), 5, width=1e3).collect()}
+    got = {r.vec_id: r.neighbours for r in ann.nearest_neighbours(spark.createDataFrame(rows * 6, schema), 5, width=1e3).collect()}
+    assert want == got
+    at = np.array([i for i, _ in rows])
+    v = np.array([v for _, v in rows], np.float32).astype(float)
+    for i in (0, 1, 70, 110, 120):
+        d = {}
+        for p in v[at == i]:
+            for j, e in zip(at, ((v - p) ** 2).sum(axis=1)):
+                if j != i:
+                    d[j] = min(e, d.get(j, np.inf))
+        assert got[i] == [int(j) for j in sorted(d, key=lambda j: (d[j], j))[:5]]
+
+
 def test_probes_come_in_order_and_never_move_a_slot_twice():
     t = ann.probe_template(6, 100)
     assert t.shape == (100, 12) and not t[0].any() and len({tuple(r) for r in t}) == 100
