@@ -68,4 +68,4 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLES = {"op1_chat_formatting": chat.ORACLE, "op3_document_fingerprints": fingerprints.oracle()}
+ORACLES = {"op1_chat_formatting": chat.ORACLE, "op3_document_fingerprints": fingerprints.oracle(), "op7_simhash_dedup": simhash.oracle()}

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,20 +18,25 @@ from .common import bound_batches, map_batches, materialize
 BITS = 128
 #: Fingerprints within so many bits are near duplicates.
 DISTANCE = 20
-#: The search finds pairs at DESIGN bits with probability RECALL; nearer ones more surely.
-DESIGN, RECALL = 16, 0.95
-FAN = 8
+#: The search finds a pair at DISTANCE bits with probability RECALL, at any number of fingerprints; nearer ones more surely.
+RECALL = 0.99
+#: Fingerprints that a bucket of a table should hold by chance.
+BUCKET = 512
+#: Fingerprints of a leaf of the hierarchy, and nodes of an upper node.
+LEAF, FAN = 32, 8
 _WORD = re.compile(r"\w+")
-REMEMBERED = 300_000
+#: Words remembered by a worker, and the longest word that is.
+REMEMBERED, LONG = 300_000, 64
 CHUNK_ROWS = 200_000
-PAIRS = 4_000_000
+PAIRS = 1 << 22
 
 
 class Fingerprinter:
     """text -> 128 bits. Features are the lowered words, weighted by the root of
     their count and by length (short words are mostly function words, which all
     texts share), so that the weights need no corpus and fingerprints stay
-    comparable as the corpus grows. Weights are integers: sums are exact."""
+    comparable as the corpus grows. Bits are the words' MD5. Weights are integers:
+    sums are exact."""
 
     def __init__(self):
         self.ids: dict[str, int] = {}
@@ -45,10 +50,15 @@ class Fingerprinter:
         new = list(words - self.ids.keys())
         if new:
             self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-            raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in new]), np.uint8).reshape(-1, BITS // 8)
+            raw = np.frombuffer(b"".join([md5(w.encode(), usedforsecurity=False).digest() for w in new]), np.uint8).reshape(-1, BITS // 8)
             self.bits = np.concatenate([self.bits, np.unpackbits(raw, axis=1).astype(np.int8) * 2 - 1])
             self.base = np.concatenate([self.base, [min(1.0, (len(w) / 8) ** 2) for w in new]])
 
+    def _forget_long(self, words: set[str]) -> None:
+        """Texts without spaces are words of any length, which aren't kept."""
+        if any(len(w) > LONG for w in words):
+            self.__init__()
+
     def prints(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """n x 2 of uint64, and which rows have a fingerprint. Null and blank texts
         have none; a text without words is one feature as a whole."""
@@ -56,7 +66,8 @@ class Fingerprinter:
         for t in texts:
             t = (t or "").strip()
             counts.append(Counter(_WORD.findall(t.lower())) or (Counter([t]) if t else Counter()))
-        self._learn(set().union(*counts))
+        there = set().union(*counts)
+        self._learn(there)
         out = np.zeros((len(texts), 2), np.uint64)
         some = np.array([bool(c) for c in counts], bool)
         at, k = np.flatnonzero(some), 0
@@ -68,11 +79,12 @@ class Fingerprinter:
             part = [counts[i] for i in at[k:last]]
             ids = np.fromiter((self.ids[w] for c in part for w in c), np.int64, size)
             n = np.fromiter((v for c in part for v in c.values()), np.float64, size)
-            weight = np.maximum(np.rint(256 * np.sqrt(n) * self.base[ids]), 1).astype(np.int32)
+            weight = np.maximum(np.floor(256 * np.sqrt(n) * self.base[ids] + 0.5), 1).astype(np.int32)
             starts = np.cumsum([0, *(len(c) for c in part[:-1])])
             sums = np.add.reduceat(self.bits[ids] * weight[:, None], starts, axis=0)
             out[at[k:last]] = np.packbits(sums > 0, axis=1).view(">u8").astype(np.uint64)
             k = last
+        self._forget_long(there)
         return out, some
 
 
@@ -93,87 +105,118 @@ def gray_word(ranks: np.ndarray) -> np.ndarray:
     return w
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
+def _near(prints: np.ndarray, starts: np.ndarray, distance: int, skip: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the pairs i < j within a group (groups begin at ``starts``; each in
+    Gray order) whose words differ in at most ``distance`` bits.
 
-
-def near_pairs(prints: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j within a group (groups begin at ``starts``; each in Gray
-    order) whose words differ in at most ``distance`` bits.
-
-    Runs of FAN neighbours in Gray order, which share many bits, form a node: the
-    mask of the bits all of them share and those bits' values. Runs of nodes form
-    upper nodes, up to one root a group. From pairs of roots the search goes down:
-    a pair of nodes is dropped, with all under it, when the bits both have fixed
-    already differ in too many places. All pairs of a level are compared at once."""
+    Runs of LEAF neighbours in Gray order, which share many bits, form a node: the
+    mask of the bits all of them share and those bits' values. Runs of FAN nodes
+    form upper nodes, up to one root a group. From pairs of roots the search goes
+    down: a pair of nodes is dropped, with all under it, when the bits both have
+    fixed already differ in too many places. All pairs of a level are compared at
+    once. ``skip(begin, end, a, b)`` says which pairs of leaves need no comparison."""
     n = len(prints)
     sizes = np.diff(np.append(starts, n))
     levels = []  # from the leaves up: (first child, end of children, mask, value)
-    low_and, low_or, first, group_sizes = prints, prints, starts, sizes
+    low_and, low_or, first, group_sizes, wide = prints, prints, starts, sizes, LEAF
     while True:
-        runs = -(-group_sizes // FAN)
-        begin = np.repeat(first, runs) + FAN * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
-        end = np.minimum(begin + FAN, np.repeat(first + group_sizes, runs))
+        runs = -(-group_sizes // wide)
+        begin = np.repeat(first, runs) + wide * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+        end = np.minimum(begin + wide, np.repeat(first + group_sizes, runs))
         low_and = np.bitwise_and.reduceat(low_and, begin, axis=0)
         low_or = np.bitwise_or.reduceat(low_or, begin, axis=0)
         levels.append((begin, end, ~(low_and ^ low_or), low_and))
         if len(begin) == len(starts):
             break
-        first = np.cumsum(runs) - runs
-        group_sizes = runs
+        first, group_sizes, wide = np.cumsum(runs) - runs, runs, FAN
+    high, low = np.ascontiguousarray(prints[:, 0]), np.ascontiguousarray(prints[:, 1])
+    lane = np.arange(LEAF)
     roots = np.arange(len(starts))
-    left, right = [], []
     stack = [(len(levels) - 1, roots, roots)]
     while stack:
         level, a, b = stack.pop()
         begin, end, _, _ = levels[level]
-        wide = end[b] - begin[b]
-        total = (end[a] - begin[a]) * wide
+        if level == 0:
+            most = PAIRS // LEAF**2
+            if len(a) > most:  # the pairs first in Gray order are compared first
+                stack += [(0, a[most:], b[most:]), (0, a[:most], b[:most])]
+                continue
+            if skip is not None:
+                need = ~skip(begin, end, a, b)
+                a, b = a[need], b[need]
+            i, j = begin[a][:, None] + lane, begin[b][:, None] + lane
+            i_in, j_in = i < end[a][:, None], j < end[b][:, None]
+            i, j = np.minimum(i, n - 1), np.minimum(j, n - 1)
+            d = np.bitwise_count(high[i][:, :, None] ^ high[j][:, None, :])
+            d += np.bitwise_count(low[i][:, :, None] ^ low[j][:, None, :])
+            p, x, y = np.nonzero(d <= distance)
+            i, j, ok = i[p, x], j[p, y], i_in[p, x] & j_in[p, y]
+            ok &= i < j
+            if ok.any():
+                yield i[ok], j[ok]
+            continue
+        wides = end[b] - begin[b]
+        total = (end[a] - begin[a]) * wides
         if total.sum() > PAIRS and len(a) > 1:
             half = len(a) // 2
-            stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
+            stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
             continue
         which = np.repeat(np.arange(len(a)), total)
         k = np.arange(len(which)) - np.repeat(np.cumsum(total) - total, total)
-        i = begin[a][which] + k // wide[which]
-        j = begin[b][which] + k % wide[which]
-        if level == 0:
-            ok = i < j
-            i, j = i[ok], j[ok]
-            ok = _distance(prints[i], prints[j]) <= distance
-            left.append(i[ok])
-            right.append(j[ok])
-        else:
-            ok = i <= j
+        i = begin[a][which] + k // wides[which]
+        j = begin[b][which] + k % wides[which]
+        ok = i <= j
+        i, j = i[ok], j[ok]
+        _, _, mask, value = levels[level - 1]
+        apart = np.bitwise_count((value[i] ^ value[j]) & mask[i] & mask[j]).sum(axis=1, dtype=np.int32)
+        ok = apart <= distance
+        if ok.any():
             i, j = i[ok], j[ok]
-            _, _, mask, value = levels[level - 1]
-            apart = np.bitwise_count((value[i] ^ value[j]) & mask[i] & mask[j]).sum(axis=1, dtype=np.int32)
-            ok = apart <= distance
-            if ok.any():
-                stack.append((level - 1, i[ok], j[ok]))
-    return np.concatenate(left), np.concatenate(right)
+            order = np.argsort(j - i, kind="stable")
+            stack.append((level - 1, i[order], j[order]))
 
 
-def least_labels(n: int, i: np.ndarray, j: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least value in its component."""
-    label = values.copy()
+def near_pairs(prints: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that ``_near`` finds."""
+    found = [(np.zeros(0, np.int64),) * 2, *_near(prints, starts, distance)]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of i and j; a label is the least index of its component."""
     while len(i):
-        least = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
-        if (label == before).all():
-            break
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != (up := label[label])).any():
+            label[:] = up
+
+
+def linked(prints: np.ndarray, starts: np.ndarray, distance: int) -> np.ndarray:
+    """For each fingerprint the least index of its component of near pairs. Pairs of
+    leaves that are all in one component already aren't compared, which changes no
+    component: so a large cluster costs few comparisons, and no pairs are held."""
+    label = np.arange(len(prints))
+
+    def skip(begin, end, a, b):
+        least, most = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
+        return (least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b])
+
+    for i, j in _near(prints, starts, distance, skip):
+        _join(label, i, j)
     return label
 
 
-def plan(n: int, design: int = DESIGN, recall: float = RECALL) -> tuple[int, int]:
-    """Key bits and tables for n fingerprints: keys long enough that chance
-    meetings stay a few a key at any n, tables enough that two fingerprints
-    ``design`` bits apart share a key with probability ``recall``."""
-    bits = min(40, max(8, math.ceil(math.log2(max(n, 2))) - 2))
+def plan(n: int, design: int = DISTANCE, recall: float = RECALL) -> tuple[int, int]:
+    """Key bits and tables for n fingerprints: keys long enough that buckets stay of
+    about BUCKET at any n, tables enough that two fingerprints ``design`` bits
+    apart share a key with probability ``recall``."""
+    bits = min(40, max(0, math.ceil(math.log2(max(n, 1) / BUCKET))))
     same = (1 - design / BITS) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
+    return bits, 1 if bits == 0 else math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,8 +264,10 @@ def _search(distinct: DataFrame, bits: int, tables: int, distance: int) -> DataF
                 return None
             hi, lo, rep, sizes = hi[many], lo[many], rep[many], sizes[sizes > 1]
             words = gray_word(np.stack([hi, lo], axis=1).view(np.uint64))
-            i, j = near_pairs(words, np.cumsum(sizes) - sizes, distance)
-            label = least_labels(len(rep), i, j, rep)
+            root = linked(words, np.cumsum(sizes) - sizes, distance)
+            label = rep.copy()
+            np.minimum.at(label, root, rep)  # the least id of each component
+            label = label[root]
             other = label != rep
             if not other.any():
                 return None
@@ -270,7 +315,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, distance: int = DISTANCE, design: int = DESIGN, recall: float = RECALL,
+    docs: DataFrame, *, distance: int = DISTANCE, recall: float = RECALL,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, group_id`` of every document: the least id of the group it is in.
@@ -278,9 +323,11 @@ def near_duplicates(
     A group is a connected component of the pairs of fingerprints at most
     ``distance`` of 128 bits apart. Equal fingerprints are folded first, so a hot
     text costs one row. Candidates meet on sampled bits, in tables whose number and
-    key length follow the number of fingerprints (``plan``); each table's keys are
-    shuffled once, sorted by key and Gray rank, and searched by ``near_pairs``,
-    which has no cap. Only fingerprints and ids are shuffled, never texts.
+    key length follow the number of fingerprints (``plan``), so that a pair at the
+    very ``distance`` is found with probability ``recall`` at any number; each
+    table's keys are shuffled once, sorted by key and Gray rank, and searched by a
+    hierarchy of masked patterns (``_near``) without a cap. Only fingerprints and
+    ids are shuffled, never texts.
 
     Null ids have no row. An id that repeats has one row; its least fingerprint
     counts. A document of null or blank text stands alone. Ties go to the least id.
@@ -291,7 +338,7 @@ def near_duplicates(
     prints = prints.groupBy("doc_id").agg(one.alias("p")).select("doc_id", "p.hi", "p.lo")
     own = prints.where("hi is not null")
     distinct = materialize(own.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "distinct")
-    bits, tables = plan(distinct.count(), design, recall)
+    bits, tables = plan(distinct.count(), distance, recall)
     roots = components(_search(distinct, bits, tables, distance))
     rooted = distinct.join(roots, F.col("rep") == F.col("u"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("group_id"))
     grouped = own.join(rooted, ["hi", "lo"]).select("doc_id", "group_id")
@@ -309,20 +356,43 @@ def kept_with_members(groups: DataFrame, *, most: int = 10_000) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns: one of each group, and
-    every row without an id. Of an id that repeats one row stays: the one of least
-    text, then of least other columns."""
+    """The documents that stay, with all their columns, whatever their names: one of
+    each group, and every row without an id. Of an id that repeats one row stays:
+    the one of least text, then of least other columns (as strings). Documents of
+    null or blank text stay. The plan is the same at any size: texts are shuffled
+    once, by id, beside the ids that stay, and aren't sorted."""
     groups = materialize(near_duplicates(docs.select("doc_id", "text"), **options), "groups")
-    stay = groups.where("doc_id = group_id").select(F.col("doc_id").alias("__kept"))
-    kept = docs.join(stay, docs["doc_id"] == F.col("__kept"), "left_semi")
-    unnamed = docs.where("doc_id is null")
-    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__many")), "repeated")
-    if repeated.isEmpty():
-        return kept.union(unnamed)
-    many = kept["doc_id"] == F.col("__many")
+    stay = groups.where("doc_id = group_id").select(F.col("doc_id").alias("key"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    again = kept.join(repeated, many, "left_semi").toDF(*names)
-    key = names[docs.columns.index("doc_id")]
-    text = names[docs.columns.index("text")]
-    first = again.groupBy(key).agg(F.min(F.struct(F.col(text).alias("__first"), *names)).alias("r")).select(*(F.col(f"r.{n}").alias(n) for n in names))
-    return kept.join(repeated, many, "left_anti").union(first.toDF(*docs.columns)).union(unnamed)
+    rows = docs.toDF(*names)
+    key, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    kept = rows.join(stay.hint("shuffle_hash"), rows[key] == stay["key"], "left_semi")
+    unnamed = rows.where(F.col(key).isNull())
+    many = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("many")), "repeated")
+    if not many.isEmpty():
+        again = kept.join(many, kept[key] == many["many"], "left_semi")
+        least = F.min_by(F.struct(*names), F.struct(text, *(F.to_json(F.struct(n)) for n in names)))
+        first = again.groupBy(key).agg(least.alias("r")).select(*(F.col(f"r.{n}").alias(n) for n in names))
+        kept = kept.join(many, kept[key] == many["many"], "left_anti").union(first)
+    return kept.union(unnamed).toDF(*docs.columns)
+
+
+def oracle(distance: int = DISTANCE) -> str:
+    """``kept_with_members`` of the near duplicates of documents as DuckDB SQL, where
+    no group is over ``most`` and all ids differ: all pairs of fingerprints are compared."""
+    sums = ", ".join(f"sum(CASE WHEN (w{b // 32} >> {31 - b % 32}) & 1 = 1 THEN wt ELSE -wt END) AS s{b}" for b in range(BITS))
+    words = ", ".join(" + ".join(f"(s{32 * k + i} > 0)::BIGINT * {1 << (31 - i)}" for i in range(32)) + f" AS p{k}" for k in range(4))
+    apart = " + ".join(f"bit_count(xor(a.p{k}, b.p{k}))" for k in range(4))
+    return f"""WITH RECURSIVE t AS MATERIALIZED (
+      SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS whole FROM documents),
+    f AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN len(ws) > 0 THEN ws ELSE [whole] END) AS w FROM t WHERE whole <> '') GROUP BY doc_id, w),
+    h AS MATERIALIZED (SELECT doc_id, {', '.join(f"('0x' || substr(md5(w), {8 * k + 1}, 8))::BIGINT AS w{k}" for k in range(4))},
+      greatest(floor(256 * sqrt(n) * least(1.0::DOUBLE, pow(length(w) / 8::DOUBLE, 2)) + 0.5), 1)::BIGINT AS wt FROM f),
+    p AS (SELECT doc_id, {words} FROM (SELECT doc_id, {sums} FROM h GROUP BY doc_id)),
+    d AS MATERIALIZED (SELECT min(doc_id) AS rep, p0, p1, p2, p3 FROM p GROUP BY p0, p1, p2, p3),
+    e AS MATERIALIZED (SELECT a.rep AS u, b.rep AS v FROM d a JOIN d b ON a.rep <> b.rep AND {apart} <= {distance}),
+    r(rep, root) AS (SELECT rep, rep FROM d UNION SELECT e.v, r.root FROM r JOIN e ON r.rep = e.u),
+    c AS (SELECT rep, min(root) AS root FROM r GROUP BY rep),
+    g AS (SELECT p.doc_id, c.root FROM p JOIN d USING (p0, p1, p2, p3) JOIN c ON c.rep = d.rep
+      UNION ALL SELECT doc_id, doc_id FROM t WHERE whole = '')
+    SELECT root AS doc_id, list_sort(list(doc_id)) AS members FROM g GROUP BY root"""
