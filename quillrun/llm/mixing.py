@@ -15,14 +15,15 @@ from .common import materialize
 MOST = 600.0
 #: Margins further off their targets than this part are reported.
 REPORTED = 1e-6
+#: Significant digits of a multiplier.
+DIGITS = 9
 #: The two margins that the targets hold: tokens by source and tokens by language.
 MARGINS = ("source", "lang")
 
 
 def word_count(text: Column) -> Column:
     """Tokens of a document for the balance: its words (runs without ASCII white space)."""
-    trimmed = F.regexp_replace(text, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t\n\r\f\x0B]+"))).cast("bigint")
+    return F.regexp_count(text, F.lit(r"[^ \t\n\r\f\x0B]+")).cast("bigint")
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,8 @@ def balance(
     tolerance: float = 1e-9,
     max_iterations: int = 60,
 ) -> Balance:
-    """Solve for the multipliers over ``sized`` (source, lang, __t).
+    """Solve for the multipliers over ``sized`` (source, lang, __t, and perhaps __d,
+    how many documents a row stands for).
 
     Of all rates w_d with the wanted token sums, sum w_d t_d = target for each
     source and language, that with the least relative entropy to equal rates is
@@ -68,9 +70,13 @@ def balance(
     which the least-squares solution of a step settles.
 
     ``targets`` has shares by margin, summing to 1; a value without documents is
-    left out and the rest scaled up; by default both margins are ``tempered``.
+    left out and the rest scaled up (ValueError if nothing is left); by default
+    both margins are ``tempered``. Multipliers are rounded to DIGITS significant
+    digits, well below the tolerance, so that the order in which tasks add their
+    sums doesn't show in rates or copies.
     ``budget`` is the tokens wanted as a part of those there are."""
-    totals = sized.where("__t > 0").groupBy(*MARGINS).agg(F.sum("__t").alias("t"), F.max("__t").alias("m")).collect()
+    docs = F.col("__d") if "__d" in sized.columns else F.lit(1)
+    totals = sized.where("__t > 0").groupBy(*MARGINS).agg(F.sum(docs * F.col("__t")).alias("t"), F.max("__t").alias("m")).collect()
     totals.sort(key=lambda r: tuple((r[m] is not None, r[m] or "") for m in MARGINS))
     cells = [tuple(r[m] for m in MARGINS) for r in totals]
     if not cells:
@@ -83,6 +89,8 @@ def balance(
             there[cell[k]] = there.get(cell[k], 0) + r["t"]
         share = (targets or {}).get(margin) or tempered(there, alpha)
         known = sum(v for x, v in share.items() if x in there)
+        if not known > 0:
+            raise ValueError(f"no target of {margin} has documents")
         for value in there:
             rows.append([float(c[k] == value) for c in cells])
             goal.append(budget * share.get(value, 0.0) / known)
@@ -93,7 +101,7 @@ def balance(
         """By cell: sum of w, of w t, of w t^2, all tokens in parts of the scale."""
         got = np.zeros((3, len(cells)))
         where = {c: i for i, c in enumerate(cells)}
-        w = F.exp(cell_value(cells, lam) * F.col("__t") / scale)
+        w = F.exp(cell_value(cells, lam) * F.col("__t") / scale) * docs
         x = F.col("__t") / scale
         agg = sized.where("__t > 0").groupBy(*MARGINS).agg(F.sum(w), F.sum(w * x), F.sum(w * x * x))
         for r in agg.collect():
@@ -132,16 +140,17 @@ def balance(
     gap = float(np.abs((a @ w1 / unit - goal) / goal).max())
     if not gap <= REPORTED:
         warnings.warn(f"mixing: after {done} iterations a margin is off its target by a part of {gap:.3g}", RuntimeWarning, stacklevel=2)
-    return Balance(cells, a.T @ theta, scale, done, gap)
+    lam = np.array([float(f"{x:.{DIGITS}g}") for x in a.T @ theta])
+    return Balance(cells, lam, scale, done, gap)
 
 
-def cell_value(cells: list[tuple], values) -> Column:
+def cell_value(cells: list[tuple], values, margins: tuple[str, ...] = MARGINS) -> Column:
     """A cell's value as a lookup in a literal map; there is a row a (source, language)."""
     if not cells:
         return F.lit(0.0)
     key = lambda c: "\x01".join("\x00" if x is None else str(x) for x in c)
     pairs = [F.lit(x) for c, v in zip(cells, values) for x in (key(c), float(v))]
-    at = F.concat_ws("\x01", *(F.coalesce(F.col(m).cast("string"), F.lit("\x00")) for m in MARGINS))
+    at = F.concat_ws("\x01", *(F.coalesce(F.col(m).cast("string"), F.lit("\x00")) for m in margins))
     return F.coalesce(F.element_at(F.create_map(*pairs), at), F.lit(0.0))
 
 
@@ -165,7 +174,8 @@ def mixing_rates(
     Copies are the rate rounded down, and one more with probability its fraction,
     by a hash of the id: on average exactly the rate, without a pass over the data,
     and the same on every run. Texts are read once, to be counted; the Newton
-    iterations read (source, lang, tokens) from a table in the shared folder.
+    iterations read the number of documents of each (source, lang, tokens) from a
+    table in the shared folder.
 
     Documents of null or empty text weigh nothing in any sum: rate 1, one copy.
     Null sources and languages are parts of their own. Repeated rows count each
@@ -181,15 +191,16 @@ def _solve(docs, targets, alpha, budget, id_col="doc_id", text_col="text") -> tu
     sized = materialize(
         docs.select(F.col(id_col).alias("doc_id"), F.col("source"), F.col("lang"), _tokens(text_col).alias("__t")), "mixing"
     )
-    return sized, balance(sized, targets, alpha=alpha, budget=budget)
+    alike = materialize(sized.groupBy(*MARGINS, "__t").agg(F.count(F.lit(1)).alias("__d")), "alike")
+    return sized, balance(alike, targets, alpha=alpha, budget=budget)
 
 
 def _tokens(text_col: str) -> Column:
     return F.coalesce(word_count(F.col(text_col)), F.lit(0))
 
 
-def _rate(found: Balance) -> Column:
-    return F.exp(cell_value(found.cells, found.lam) * F.col("__t") / found.scale)
+def _rate(found: Balance, tokens: str = "__t", margins: tuple[str, ...] = MARGINS) -> Column:
+    return F.exp(cell_value(found.cells, found.lam, margins) * F.col(tokens) / found.scale)
 
 
 def _copies(rate: Column, id_col: str) -> Column:
@@ -198,9 +209,15 @@ def _copies(rate: Column, id_col: str) -> Column:
 
 
 def mixed_documents(docs: DataFrame, targets: dict[str, dict] | None = None, *, alpha: float = 0.7, budget: float = 1.0) -> DataFrame:
-    """Each row of ``docs``, all columns, as often as ``mixing_rates`` gives it
-    copies. Copies are made where the row is read, without a join or a shuffle."""
-    _, found = _solve(docs, targets, alpha, budget)
-    given = docs.withColumn("__t", _tokens("text")).withColumn("__n", _copies(_rate(found), "doc_id"))
-    repeated = given.where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i"))
-    return repeated.select(*docs.columns)
+    """Each row of ``docs``, all columns whatever their names, as often as
+    ``mixing_rates`` gives it copies. Copies are made where the row is read, without
+    a join or a shuffle. Rows of null or empty text have one copy; rows that repeat
+    are each copied, all alike; null ids too; an empty table gives none."""
+    _, found = _solve(docs.select("doc_id", "text", *MARGINS), targets, alpha, budget)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    given = docs.toDF(*names).withColumn("t", _tokens(at["text"]))
+    given = given.withColumn("rate", _rate(found, "t", tuple(at[m] for m in MARGINS))).withColumn("n", _copies(F.col("rate"), at["doc_id"]))
+    # An outer explode and a filter after it: one before it would count every text again.
+    copied = given.select(*names, F.explode_outer(F.array_repeat(F.lit(True), F.col("n").cast("int"))).alias("i"))
+    return copied.where("i").select(*names).toDF(*docs.columns)
