@@ -11,45 +11,40 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, list_array, map_batches, materialize
+from .common import bound_batches, list_array, materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CLASSES = 64
-#: A word that occurs this often has an id of its own, at any corpus size.
+#: A word that occurs this often has a class and a probability of its own, at any corpus size.
 LEAST = 2
-ROUNDS = 8
-FLUSH = 500_000
+#: The most frequent words, whose classes are found by sequential exchange; all others join these classes.
+HEAD = 512
+#: Pseudo-counts of a class's transitions, and of a word.
+PRIOR, ADD = 64.0, 0.5
+#: Rows that a task holds before it combines and sends them.
+FLUSH = 1_000_000
 #: Tokens of a chunk of texts; a text isn't divided.
 CHUNK = 500_000
-REMEMBERED = 300_000
 BOUNDARY, UNKNOWN = 0, 1
+SPECIAL = ["\x00<s>", "\x00<unk>"]
 
 
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def suffix(word: str) -> str:
-    """The pseudo-word that stands for a rare word: its last two characters."""
-    return "\x00" + word[-2:]
-
-
 class Ids(dict):
-    """word -> id; a word without one has its suffix's, or that of unknown words."""
+    """word -> id; a word without one has that of unknown words."""
 
     def __init__(self, vocabulary: list[str]):
-        self.known = {w: i for i, w in enumerate(vocabulary)}
-        super().__init__(self.known)
+        super().__init__((w, i) for i, w in enumerate(vocabulary))
 
     def __missing__(self, word: str) -> int:
-        if len(self) > len(self.known) + REMEMBERED:
-            self.clear()
-            self.update(self.known)
-        value = self[word] = self.known.get(suffix(word), UNKNOWN)
-        return value
+        return UNKNOWN
 
 
 def bounded(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -73,18 +68,21 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     """Texts in chunks of about ``chunk`` tokens, a row each: ``chunk, ids, sizes
     (-1 for a null text), codes, words, counts``. A text's tokens are codes, which
     number the distinct words of their own chunk: so what is joined to the
-    vocabulary is a row a word and chunk, and texts are read and cut once."""
+    vocabulary is a row a word and chunk, and texts are read and cut once. Codes
+    take two bytes, or four in a chunk of more than 65,536 distinct words."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, codes, sizes, ids = Codes(), [], [], []
 
         def out():
-            flat = np.array(codes, np.int32)
+            flat = np.array(codes, "<u4")
+            counts = np.bincount(flat, minlength=len(known)).astype(np.int64)
             one = lambda values: list_array(values, [len(values)])
             columns = [
-                pa.array([uuid.uuid4().int >> 65]), one(pa.concat_arrays(ids)), one(pa.array(sizes, pa.int32())), one(pa.array(flat)),
-                one(pa.array(known.keys(), pa.string())), one(pa.array(np.bincount(flat, minlength=len(known)).astype(np.int64))),
+                pa.array([uuid.uuid4().int >> 65]), one(pa.concat_arrays(ids)), one(pa.array(sizes, pa.int32())),
+                pa.array([(flat if len(known) > 1 << 16 else flat.astype("<u2")).tobytes()], pa.binary()),
+                one(pa.array(known.keys(), pa.string())), one(pa.array(counts)),
             ]
             return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "codes", "words", "counts"])
 
@@ -101,10 +99,19 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
             yield out()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"chunk bigint, ids array<{kind}>, sizes array<int>, codes array<int>, words array<string>, counts array<bigint>"
+    schema = f"chunk bigint, ids array<{kind}>, sizes array<int>, codes binary, words array<string>, counts array<bigint>"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each chunk: its batch and place there, the sizes of its texts, and its codes."""
+    for b in batches:
+        for i in range(b.num_rows):
+            sizes = np.maximum(b.column("sizes")[i].values.to_numpy().astype(np.int64), 0)
+            raw = b.column("codes")[i].as_py()
+            yield b, i, sizes, np.frombuffer(raw, "<u4" if len(raw) == 4 * sizes.sum() else "<u2")
+
+
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -115,57 +122,6 @@ def word_counts(coded: DataFrame) -> DataFrame:
     return each.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
 
 
-def build_vocabulary(counts: DataFrame, *, rate: float = 0.0, least: int = LEAST) -> DataFrame:
-    """``word, w``: the id of every word that occurs ``least`` times, of the suffix
-    pseudo-words of the others that do, and of boundary and unknown. It is a
-    written table and grows with the corpus; ``rate``, a least part of all tokens, is off."""
-    enough = F.lit(least)
-    if rate:
-        enough = F.lit(max(least, rate * (counts.agg(F.sum("n")).first()[0] or 0)))
-    words = counts.where(F.col("n") >= enough).select("word")
-    rest = counts.where(F.col("n") < enough).groupBy(_suffix("word").alias("word")).agg(F.sum("n").alias("n"))
-    words = words.union(rest.where(F.col("n") >= enough).select("word"))
-    numbered = words.withColumn("w", F.monotonically_increasing_id() + 2)
-    return materialize(numbered.union(_given(counts.sparkSession, SPECIAL)), "vocabulary")
-
-
-SPECIAL = ["\x00<s>", "\x00<unk>"]
-
-
-def _given(spark, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, w bigint")
-
-
-def _suffix(word: str):
-    return F.concat(F.lit("\x00"), F.substring(word, -2, 2))
-
-
-def with_words(coded: DataFrame, vocabulary: DataFrame, columns: list[str]) -> DataFrame:
-    """The chunks, each with the list ``e`` of its words' ``columns`` of the
-    vocabulary, in the order of their codes; a word without a row there has its suffix's, or
-    that of unknown words."""
-    unknown = vocabulary.where(F.col("w") == UNKNOWN).select(F.struct(*columns).alias("u"))  # one row
-    own = vocabulary.select("word", F.struct(*columns).alias("x"))
-    each = coded.select("chunk", F.posexplode("words").alias("code", "word")).join(own, "word", "left")
-    # Words that are known keep their own key, so that they are spread over the tasks.
-    key = F.when(F.col("x").isNull(), _suffix("word")).otherwise(F.col("word"))
-    suffixes = own.where(F.col("word").startswith("\x00")).select(F.col("word").alias("key"), F.col("x").alias("y"))
-    each = each.withColumn("key", key).join(suffixes, "key", "left").crossJoin(F.broadcast(unknown))
-    each = each.select("chunk", "code", F.coalesce("x", "y", "u").alias("x"))
-    return _in_chunks(coded, each, columns)
-
-
-def with_ids(spelled: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
-    """The same for chunks whose words have their ids already."""
-    each = spelled.select("chunk", F.posexplode("e_w").alias("code", "w"))
-    return _in_chunks(spelled, each.join(words.select("w", F.struct(*columns).alias("x")), "w"), columns)
-
-
-def _in_chunks(chunks: DataFrame, each: DataFrame, columns: list[str]) -> DataFrame:
-    lists = each.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("code", "x"))).alias("e"))
-    return chunks.drop("words", "counts").join(lists.select("chunk", *(F.col(f"e.x.{c}").alias(f"e_{c}") for c in columns)), "chunk", "left")
-
-
 def _forget(*tables: DataFrame) -> None:
     """Deletes written tables that are no longer read, and what was shuffled for them."""
     for t in tables:
@@ -177,55 +133,28 @@ def _forget(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
-def _list(b: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    x = b.column(name)[i].values
-    return np.zeros(0, np.int64) if x is None else x.to_numpy(zero_copy_only=False)
-
-
-def _spelled(b: pa.RecordBatch, i: int, *names: str) -> tuple[np.ndarray, ...]:
-    """Of one chunk: the sizes of its texts, and each of the words' columns along the tokens."""
-    codes = _list(b, "codes", i)
-    return _list(b, "sizes", i).astype(np.int64), *(_list(b, n, i)[codes] for n in names)
-
-
 def bigrams(docs: DataFrame, vocabulary: list[str], *, text_col: str = "text") -> DataFrame:
     """``a, b, n`` over all texts with the given words, whose ids are their places."""
-    coded = materialize(encode(_texts(docs, text_col)), "coded")
-    return coded_bigrams(coded, _given(docs.sparkSession, vocabulary))
+    return coded_bigrams(materialize(encode(_texts(docs, text_col)), "coded"), vocabulary)
 
 
-def coded_bigrams(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``a, b, n`` over all chunks, boundaries included, combined within each task."""
+def coded_bigrams(coded: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``a, b, n`` over all chunks, boundaries included, for a short list of words;
+    all others are unknown. A task holds and sends len(vocabulary)^2 counts."""
+    size = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, held = [], 0
-
-        def out():
-            p = np.concatenate(pairs, axis=1)
-            order = np.lexsort((p[1], p[0]))
-            p = p[:, order]
-            first = np.flatnonzero(np.any(np.diff(p[:2], axis=1, prepend=-1) != 0, axis=0))
-            n = np.add.reduceat(p[2], first)
-            return pa.RecordBatch.from_arrays([pa.array(p[0, first]), pa.array(p[1, first]), pa.array(n)], ["a", "b", "n"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sizes, codes = _list(batch, "sizes", i).astype(np.int64), _list(batch, "codes", i)
-                e = np.append(_list(batch, "e_w", i), BOUNDARY)
-                # Places in the chunk's list of words, which are few: a pair is one number.
-                at = bounded(codes.astype(np.int64) + 1, np.maximum(sizes, 0))
-                k, n = np.unique(at[:-1] * len(e) + at[1:], return_counts=True)
-                a, b = k // len(e), k % len(e)
-                some = (a > 0) | (b > 0)
-                pairs.append(np.stack([e[a - 1], e[b - 1], n])[:, some])
-                held += pairs[-1].shape[1]
-                if held > 4 * FLUSH:
-                    yield out()
-                    pairs, held = [], 0
-        if held:
-            yield out()
-
-    partial = with_words(coded, vocabulary, ["w"]).mapInArrow(run, "a bigint, b bigint, n bigint")
+        known, n = Ids(vocabulary), np.zeros(size * size, np.int64)
+        for b, i, sizes, codes in _chunks(batches):
+            words = np.fromiter(map(known.__getitem__, b.column("words")[i].as_py()), np.int64)
+            at = bounded(words[codes], sizes)
+            n += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
+        n[0] = 0  # between texts
+        k = np.flatnonzero(n)
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(k // size), pa.array(k % size), pa.array(n[k])], ["a", "b", "n"])
+
+    partial = coded.select("sizes", "codes", "words").mapInArrow(run, "a bigint, b bigint, n bigint")
     return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -238,9 +167,9 @@ def objective(n: np.ndarray) -> float:
     return float(_xlogx(n).sum() - _xlogx(n.sum(axis=1)).sum() - _xlogx(n.sum(axis=0)).sum())
 
 
-def best_move(n: np.ndarray, here: int, left: np.ndarray, right: np.ndarray, own: float) -> tuple[int, float]:
-    """Of all classes but the boundary's, the one a word of class ``here`` is best
-    in, and the gain in the objective over staying.
+def best_move(n: np.ndarray, here: int, left: np.ndarray, right: np.ndarray, own: float, closed: tuple[int, ...] = ()) -> tuple[int, float]:
+    """Of all classes but the boundary's and the ``closed`` ones, the one a word of
+    class ``here`` is best in, and the gain in the objective over staying.
 
     left[h]: bigrams of the word followed by class h; right[g]: preceded by class
     g; own: of the word followed by itself (in both)."""
@@ -262,12 +191,15 @@ def best_move(n: np.ndarray, here: int, left: np.ndarray, right: np.ndarray, own
     grown_rows, grown_cols = rows + right, cols + left
     margin = _xlogx(grown_rows + out) - _xlogx(grown_rows) + _xlogx(grown_cols + into) - _xlogx(grown_cols)
     score = gain + corner - margin
-    score[BOUNDARY] = -np.inf
+    stay = score[here]
+    score[[BOUNDARY, *closed]] = -np.inf
     to = int(np.argmax(score))
-    return to, float(score[to] - score[here])
+    return to, float(score[to] - stay)
 
 
-def best_moves(n: np.ndarray, here: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def best_moves(
+    n: np.ndarray, here: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, closed: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray]:
     """``best_move`` of many words at once: a row of left and right each."""
     each, c = np.arange(len(here)), len(n)
 
@@ -303,129 +235,135 @@ def best_moves(n: np.ndarray, here: np.ndarray, left: np.ndarray, right: np.ndar
     out, into = l.sum(axis=1)[:, None] + o, r.sum(axis=1)[:, None] + o
     margin = _xlogx(rows + r + out) - _xlogx(rows + r) + _xlogx(cols + l + into) - _xlogx(cols + l)
     score = gain + corner - margin
-    score[:, BOUNDARY] = -np.inf
+    stay = score[each, here]
+    score[:, [BOUNDARY, *closed]] = -np.inf
     to = score.argmax(axis=1)
-    return to, score[each, to] - score[each, here]
+    return to, score[each, to] - stay
+
+
+def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of words 2.. of the bigram counts ``pairs`` (words by falling
+    frequency) and the class bigram counts. Word 0, the boundary, is alone in class
+    0, and word 1, which stands for all others, in the last.
+
+    Words start in turn in classes 1.., and one after another move to the class
+    that raises the objective most, all counts being brought up to date after each
+    move, until in a whole round no word moves: every move raises the objective by
+    more than rounding, so there is an end. ``rounds`` ends it sooner."""
+    v = len(pairs)
+    c = max(1, min(classes, v - 2))
+    k = c + 2
+    cls = np.array([0, k - 1, *(1 + np.arange(v - 2) % c)])
+    n = np.zeros((k, k))
+    np.add.at(n, (cls[:, None].repeat(v, 1), cls[None].repeat(v, 0)), pairs)
+    least, at = 1e-12 * max(1.0, abs(objective(n))), 0
+    while rounds is None or at < rounds:
+        at, moved = at + 1, False
+        for w in range(2, v):
+            left, right, own = np.bincount(cls, pairs[w], k), np.bincount(cls, pairs[:, w], k), pairs[w, w]
+            here = cls[w]
+            to, gain = best_move(n, here, left, right, own, (k - 1,))
+            if gain <= least:
+                continue
+            n[here] -= left
+            n[:, here] -= right
+            n[here, here] += own
+            left[here] -= own
+            right[here] -= own
+            left[to] += own
+            right[to] += own
+            n[to] += left
+            n[:, to] += right
+            n[to, to] -= own
+            cls[w], moved = to, True
+        if not moved:
+            break
+    return cls, n
 
 
-def class_bigrams(spelled: DataFrame, classes: DataFrame, c: int) -> DataFrame:
-    """``w, c, l, r, o``: how often a word is followed by, and preceded by, words
-    of a class, and (in the row of its own class) by itself; combined within each task."""
+def profiles(coded: DataFrame, head: dict[str, int], k: int) -> DataFrame:
+    """``h, n, e`` of every word that isn't of the head: the hash of it, how often it
+    occurs, and a list of (place, count): how often words of class c follow it at
+    place c, come before it at k + c, and it follows itself at 2k. Words out of
+    the head are of class k - 1. Combined within each task, so that a word sends
+    at most 2k + 1 rows a flush, however hot."""
+    wide = 2 * k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, held = [], [], 0
+        held: list[tuple] = []
 
         def out():
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            columns = [np.bincount(at, np.concatenate(x)).astype(np.int64) for x in zip(*sums)]
-            return pa.RecordBatch.from_arrays([pa.array(k // c), pa.array((k % c).astype(np.int32)), *map(pa.array, columns)], ["w", "c", "l", "r", "o"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sizes, codes = np.maximum(_list(batch, "sizes", i).astype(np.int64), 0), _list(batch, "codes", i)
-                w, first, place = np.unique(_list(batch, "e_w", i), return_index=True, return_inverse=True)
-                cls = np.append(0, _list(batch, "e_c", i)[first])
-                w = np.append(BOUNDARY, w)
-                at = bounded(place[codes] + 1, sizes)
-                a, b = at[:-1], at[1:]
-                some = (a > 0) | (b > 0)
-                a, b = a[some], b[some]
-                size = len(w) * c
-                left, right = np.bincount(a * c + cls[b], minlength=size), np.bincount(b * c + cls[a], minlength=size)
-                same = a[a == b]
-                own = np.bincount(same * c + cls[same], minlength=size)
-                k = np.flatnonzero(left + right)
-                keys.append(w[k // c] * c + k % c)
-                sums.append((left[k], right[k], own[k]))
-                held += len(k)
-                if held > 4 * FLUSH:
-                    yield out()
-                    keys, sums, held = [], [], 0
-        if held:
+            h, p, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((p, h))
+            h, p, n = h[order], p[order], n[order]
+            first = np.flatnonzero((np.diff(h, prepend=h[0]) != 0) | (np.diff(p, prepend=-1) != 0))
+            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(p[first].astype(np.int32)), pa.array(np.add.reduceat(n, first))], ["h", "p", "n"])
+
+        for b, i, sizes, codes in _chunks(batches):
+            words = b.column("words")[i].as_py()
+            cls = np.array([0, *(head.get(w, k - 1) for w in words)])
+            at = bounded(codes.astype(np.int64) + 1, sizes)
+            a, c = at[:-1], at[1:]
+            tail = cls == k - 1
+            l, r = tail[a], tail[c]  # noqa: E741
+            same = a[l & (a == c)]
+            key, n = np.unique(np.concatenate([a[l] * wide + cls[c[l]], c[r] * wide + k + cls[a[r]], same * wide + 2 * k]), return_counts=True)
+            place = key // wide
+            hashes = np.zeros(len(cls), np.uint64)
+            some = np.flatnonzero(tail)
+            hashes[some] = [word_hash(words[x - 1]) for x in some.tolist()]
+            held.append((hashes.view(np.int64)[place], key % wide, n))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                yield out()
+                held = []
+        if held and sum(len(x[0]) for x in held):
             yield out()
 
-    found = with_ids(spelled.select("chunk", "sizes", "codes", "e_w"), classes, ["c"])
-    return found.mapInArrow(run, "w bigint, c int, l bigint, r bigint, o bigint")
-
-
-def exchange(spelled: DataFrame, vocabulary: DataFrame, *, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Classes of the words by exchange (``w, h, c``), their counts (``w, n``), and
-    the class bigram counts.
-
-    In a round every word's bigram counts by class come from one pass over the
-    chunks; in parallel each word's best move is found with all others held, and
-    of the words whose turn it is those that gain move. Where moving together
-    lowers the objective, the round is undone and fewer move. Classes and moves
-    are written tables; the driver and the tasks hold classes x classes counts."""
-    spark = spelled.sparkSession
-    c = min(classes, max(vocabulary.count() - 1, 1)) + 1
-    first = F.when(F.col("w") == BOUNDARY, 0).otherwise(F.pmod("h", F.lit(c - 1)) + 1).cast("int")
-    tried = materialize(vocabulary.select("w", F.xxhash64("word").alias("h")).withColumn("c", first), "classes")
-    best, best_n, best_f, part, moves, counts = tried, None, -np.inf, 2, None, None
-    for r in range(rounds + 1):
-        met = class_bigrams(spelled, tried, c).repartition("w")
-        met = met.groupBy("w", "c").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum("o").alias("o"))
-        words = met.groupBy("w").agg(F.collect_list(F.struct("c", "l", "r")).alias("e"), F.sum("o").alias("o"))  # an entry a class
-        words = materialize(words.join(tried, "w").select("w", "c", "e", "o"), "words")
-        if counts is None:
-            counts = materialize(words.select("w", F.aggregate("e.r", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("n")), "counts")
-        n = np.zeros((c, c))
-        mine = words.select(F.col("c").alias("g"), F.explode("e").alias("e"))
-        for x in mine.groupBy("g", "e.c").agg(F.sum("e.l")).collect():
-            n[x[0], x[1]] = x[2]
-        f = objective(n)
-        better = f > best_f
-        old = [words]
-        if better:
-            old += [best] if best is not tried else []
-            best, best_n, best_f = tried, n, f
-        else:
-            old.append(tried)
-            part *= 2
-        if r == rounds:
-            _forget(*old)
-            break
-        if better:
-            sent = spark.sparkContext.broadcast(best_n)
-
-            def start(sent=sent):
-                held = sent.value
-
-                def each(b: pa.RecordBatch) -> pa.RecordBatch:
-                    to, gain = [], []
-                    for at in range(0, b.num_rows, 256):
-                        x = b.slice(at, 256)
-                        e, sizes = x.column(2).flatten().flatten(), x.column(2).value_lengths().to_numpy()
-                        row = np.repeat(np.arange(x.num_rows), sizes)
-                        lr = np.zeros((2, x.num_rows, len(held)))
-                        for k in range(2):
-                            lr[k, row, e[0].to_numpy()] = e[k + 1].to_numpy()
-                        own = x.column(3).fill_null(0).to_numpy().astype(float)
-                        t, g = best_moves(held, x.column(1).to_numpy(), lr[0], lr[1], own)
-                        to.append(t)
-                        gain.append(g)
-                    return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(to).astype(np.int32)), pa.array(np.concatenate(gain))], ["w", "t", "gain"])
-
-                return each
-
-            turn = words.where(F.col("w") != BOUNDARY).select("w", "c", "e", "o")
-            moves = materialize(map_batches(turn, start, "w bigint, t int, gain double").where("gain > 1e-6").select("w", "t"), "moves")
-            sent.unpersist()
-        _forget(*old)
-        if moves.isEmpty():
-            break
-        now = (F.pmod("h", F.lit(part)) == r % part) & F.col("t").isNotNull()
-        tried = materialize(best.join(moves, "w", "left").select("w", "h", F.when(now, F.col("t")).otherwise(F.col("c")).alias("c")), "classes")
-    return best, counts, best_n
+    rows = coded.select("sizes", "codes", "words").mapInArrow(run, "h bigint, p int, n bigint").repartition("h")
+    counts = rows.groupBy("h", "p").agg(F.sum("n").alias("n"))
+    # A word is followed once each time that it occurs.
+    return counts.groupBy("h").agg(F.sum(F.when(F.col("p") < k, F.col("n"))).alias("n"), F.collect_list(F.struct("p", "n")).alias("e"))
+
+
+def word_hash(word: str) -> int:
+    """Spark's xxhash64 of a word: what words are joined by. Two words of one hash
+    would count as one; below 10^9 words none are expected to be."""
+    return xxhash.xxh64_intdigest(word, seed=42)
+
+
+def joined_classes(words: DataFrame, n: np.ndarray) -> DataFrame:
+    """``h, c``: for each word of ``profiles`` the class of the head's that raises the
+    objective most, all others being held where they are. Words go in parallel."""
+    k = len(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to = []
+            for at in range(0, b.num_rows, 256):
+                x = b.slice(at, 256)
+                e = x.column(1)
+                row = np.repeat(np.arange(x.num_rows), e.value_lengths().to_numpy())
+                flat = e.flatten()
+                met = np.zeros((x.num_rows, 2 * k + 1))
+                met[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+                to.append(best_moves(n, np.full(x.num_rows, k - 1), met[:, :k], met[:, k : 2 * k], met[:, 2 * k], (k - 1,))[0])
+            if to:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(to).astype(np.int32))], ["h", "c"])
+
+    return words.select("h", "e").mapInArrow(run, "h bigint, c int")
 
 
 @dataclass(frozen=True)
 class Model:
-    """The words with their ids, classes and log P(word | class) are a written
-    table, ``word, w, c, e``; what is held is log P(class | class before)."""
+    """The words with their hashes, classes, counts and log P(word | class) are a
+    written table, ``word, w, h, c, n, e``. What is held: log P(class | class before),
+    each class's mass, and the number of unknown words, which share the probability
+    of their class equally."""
 
     words: DataFrame
     transition: np.ndarray
+    mass: np.ndarray
+    strangers: int
 
     @cached_property
     def _rows(self) -> list:
@@ -445,33 +383,98 @@ class Model:
         return np.array([r.e for r in self._rows])
 
 
-def smooth(vocabulary: DataFrame, classes: DataFrame, n: np.ndarray, counts: DataFrame, *, prior: float = 64.0, add: float = 0.5) -> Model:
-    """Transitions are smoothed towards the classes' own frequencies by ``prior``
-    pseudo-counts, emissions by ``add`` a word; nothing has probability 0."""
-    c = len(n)
-    base = (n.sum(axis=0) + 1.0) / (n.sum() + c)
-    transition = (n + prior * base) / (n.sum(axis=1, keepdims=True) + prior)
-    words = vocabulary.join(classes.select("w", "c"), "w").join(counts, "w", "left")
-    words = materialize(words.select("word", "w", "c", (F.coalesce("n", F.lit(0)) + add).alias("n")), "counted")
-    mass = words.groupBy("c").agg(F.sum("n").alias("mass"))  # a row a class
-    words = words.join(F.broadcast(mass), "c").select("word", "w", "c", F.log(F.col("n") / F.col("mass")).alias("e"))
-    return Model(materialize(words, "model"), np.log(transition))
+def with_words(coded: DataFrame, words: DataFrame) -> DataFrame:
+    """The chunks, each with the lists ``e_code, e_c, e_n`` of its words' numbers,
+    classes and counts; a word that isn't known has neither."""
+    each = coded.select("chunk", F.posexplode("words").alias("code", "word")).select("chunk", "code", F.xxhash64("word").alias("h"))
+    each = each.join(words.where("h is not null").select("h", "c", "n"), "h", "left")
+    lists = each.groupBy("chunk").agg(F.collect_list(F.struct("code", F.coalesce("c", F.lit(-1)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"))).alias("e"))
+    lists = lists.select("chunk", F.col("e.code").alias("e_code"), F.col("e.c").alias("e_c"), F.col("e.n").alias("e_n"))
+    return coded.select("chunk", "ids", "sizes", "codes").join(lists, "chunk", "left")
+
+
+def _along(b: pa.RecordBatch, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and counts of a chunk's words by code; those of unknown words are k - 1 and 0."""
+    e = [b.column(x)[i].values for x in ("e_code", "e_c", "e_n")]
+    if e[0] is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code, c, n = (x.to_numpy() for x in e)
+    cls, count = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    cls[code], count[code] = np.where(c < 0, k - 1, c), n
+    return cls, count
+
+
+def class_bigrams(joined: DataFrame, k: int) -> np.ndarray:
+    """How often classes follow one another; k x k counts a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(k * k, np.int64)
+        for b, i, sizes, codes in _chunks(batches):
+            at = bounded(_along(b, i, k)[0][codes], sizes)
+            n += np.bincount(at[:-1] * k + at[1:], minlength=k * k)
+        n[0] = 0  # between texts
+        some = np.flatnonzero(n)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["p", "n"])
+
+    n = np.zeros(k * k)
+    for r in joined.select("sizes", "codes", "e_code", "e_c", "e_n").mapInArrow(run, "p int, n bigint").groupBy("p").agg(F.sum("n").alias("n")).collect():
+        n[r.p] = r.n
+    return n.reshape(k, k)
+
+
+def smoothed(n: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log P(class | class before), smoothed towards the classes' own frequencies by
+    ``prior`` pseudo-counts; nothing has probability 0."""
+    base = (n.sum(axis=0) + 1.0) / (n.sum() + len(n))
+    return np.log((n + prior * base) / (n.sum(axis=1, keepdims=True) + prior))
 
 
-def train(docs: DataFrame, *, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = 0.0, text_col: str = "text") -> Model:
+def train(docs: DataFrame, *, classes: int = CLASSES, rounds: int | None = None, rate: float = 0.0, text_col: str = "text") -> Model:
     """Count words over all texts, cluster, estimate. Texts cut into tokens, counts
     and classes are written to the shared folder and read from there."""
     coded = materialize(encode(_texts(docs, text_col)), "coded")
     return coded_model(coded, classes=classes, rounds=rounds, rate=rate)[0]
 
 
-def coded_model(coded: DataFrame, *, classes: int, rounds: int, rate: float) -> tuple[Model, DataFrame]:
-    """The model, and the chunks with their words' ids in it; ``coded`` is deleted."""
-    vocabulary = build_vocabulary(materialize(word_counts(coded), "words"), rate=rate)
-    spelled = materialize(with_words(coded, vocabulary, ["w"]), "spelled")
-    _forget(coded)
-    cls, counts, n = exchange(spelled, vocabulary, classes=classes, rounds=rounds)
-    return smooth(vocabulary, cls, n, counts), spelled
+def coded_model(coded: DataFrame, *, classes: int, rounds: int | None, rate: float, add: float = ADD) -> tuple[Model, DataFrame]:
+    """The model, and the chunks with their words' classes and counts; ``coded`` is deleted.
+
+    Every word that occurs LEAST times is in the model, and the others are unknown
+    words, a class of their own. (``rate``, a least part of all tokens, is off.) The
+    HEAD most frequent words are clustered by exchange on the driver, which holds
+    their HEAD^2 bigram counts; each other word then joins the class that it raises
+    the objective most in, by its counts over all texts."""
+    spark = coded.sparkSession
+    counts = materialize(word_counts(coded), "counts")
+    enough = F.lit(LEAST)
+    if rate:
+        enough = F.lit(max(LEAST, rate * (counts.agg(F.sum("n")).first()[0] or 0)))
+    head = [r.word for r in counts.where(F.col("n") >= enough).orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    listed = SPECIAL + head
+    pairs = np.zeros((len(listed), len(listed)))
+    for r in coded_bigrams(coded, listed).toLocalIterator():
+        pairs[r.a, r.b] = r.n
+    cls, n = exchange(pairs, classes, rounds)
+    k = len(n)
+    placed = {w: int(c) for w, c in zip(head, cls[2:])}
+    met = materialize(profiles(coded, placed, k).where(F.col("n") >= enough), "met")
+    heads = spark.createDataFrame([(w, c) for w, c in placed.items()], "word string, c int").select(F.xxhash64("word").alias("h"), "c")
+    joined = materialize(joined_classes(met, n).union(heads), "classes")
+    words = counts.where(F.col("n") >= enough).withColumn("h", F.xxhash64("word")).join(joined, "h")
+    rest = counts.where(F.col("n") < enough).agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    special = spark.createDataFrame([(SPECIAL[0], 0, 0, 1), (SPECIAL[1], 1, k - 1, rest.n)], "word string, w bigint, c int, n bigint")
+    columns = "word", "w", "h", "c", "n"
+    words = words.withColumn("w", F.monotonically_increasing_id() + 2).select(*columns)
+    words = materialize(words.union(special.withColumn("h", F.lit(None).cast("bigint")).select(*columns)), "words")
+    mass = np.zeros(k)
+    for r in words.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
+        mass[r.c] = r.n + add * r.k
+    of_class = F.element_at(F.array(*map(F.lit, mass.tolist())), F.col("c") + 1)
+    model = words.withColumn("e", F.log((F.col("n") + add) / of_class))
+    known = materialize(with_words(coded, words), "known")
+    _forget(coded, counts, met, joined)
+    return Model(model, smoothed(class_bigrams(known, k)), mass, rest.k), known
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,37 +482,38 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     whose words are joined. Perplexity is for each token and the end. A null text
     has nulls; one without tokens is an end alone; null and repeated ids give a
     row each; other columns are ignored."""
-    return _scores(with_words(materialize(encode(docs, id_col=id_col, text_col=text_col), "coded"), model.words, ["c", "e"]), model)
+    return _scores(with_words(materialize(encode(docs, id_col=id_col, text_col=text_col), "coded"), model.words), model)
 
 
-def _scores(spelled: DataFrame, model: Model) -> DataFrame:
-    special = model.words.where(F.col("w") == BOUNDARY).select("c", "e").first()
-    transition, edge = model.transition, (special.c, special.e)
+def _scores(known: DataFrame, model: Model, add: float = ADD) -> DataFrame:
+    transition, mass, strangers = model.transition, model.mass, model.strangers
+    k = len(mass)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                given, c, e = _spelled(b, i, "e_c", "e_e")
-                sizes = np.maximum(given, 0)
-                inside = np.ones(len(c) + len(sizes) + 1, bool)
-                inside[np.cumsum(sizes + 1) - (sizes + 1)] = inside[-1] = False
-                cls, em = np.full(len(inside), edge[0], np.int64), np.full(len(inside), edge[1])
-                cls[inside], em[inside] = c, e
-                each = transition[cls[:-1], cls[1:]] + em[1:]
-                logp = np.add.reduceat(each, np.cumsum(sizes + 1) - (sizes + 1))
-                none = given < 0
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("ids")[i].values, pa.array(sizes, mask=none), pa.array(logp, mask=none), pa.array(np.exp(-logp / (sizes + 1)), mask=none)],
-                    ["doc_id", "n_tokens", "log_prob", "perplexity"],
-                )
-
-    kind = spelled.schema["ids"].dataType.elementType.simpleString()
-    return spelled.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_prob double, perplexity double")
-
-
-def perplexities(docs: DataFrame, *, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = 0.0) -> DataFrame:
-    """Each document's score under the model of all of them; see ``train`` and
+        spread = -np.log(np.maximum(mass, 1e-300))  # of a class without words: not used
+        for b, i, sizes, codes in _chunks(batches):
+            cls, count = _along(b, i, k)
+            emission = np.log(count + add) + spread[cls]
+            emission[cls == k - 1] = -np.log(max(strangers, 1))
+            at, em = bounded(cls[codes], sizes), np.zeros(len(codes) + len(sizes) + 1)
+            inside = np.ones(len(at), bool)
+            starts = np.cumsum(sizes + 1) - (sizes + 1)
+            inside[starts] = inside[-1] = False
+            em[inside] = emission[codes]
+            logp = np.add.reduceat(transition[at[:-1], at[1:]] + em[1:], starts)
+            none = b.column("sizes")[i].values.to_numpy() < 0
+            yield pa.RecordBatch.from_arrays(
+                [b.column("ids")[i].values, pa.array(sizes, mask=none), pa.array(logp, mask=none), pa.array(np.exp(-logp / (sizes + 1)), mask=none)],
+                ["doc_id", "n_tokens", "log_prob", "perplexity"],
+            )
+
+    kind = known.schema["ids"].dataType.elementType.simpleString()
+    return known.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_prob double, perplexity double")
+
+
+def perplexities(docs: DataFrame, *, classes: int = CLASSES, rounds: int | None = None, rate: float = 0.0) -> DataFrame:
+    """Each document's score under the model of all of them; see ``coded_model`` and
     ``score``. An empty table gives none."""
     coded = materialize(encode(docs), "coded")
-    model, spelled = coded_model(coded, classes=classes, rounds=rounds, rate=rate)
-    return _scores(with_ids(spelled, model.words, ["c", "e"]), model)
+    model, known = coded_model(coded, classes=classes, rounds=rounds, rate=rate)
+    return _scores(known, model)
