@@ -9,15 +9,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, materialize
 
 #: Hash functions a table, tables, probes a table, and slot width in root-mean-square lengths.
-FUNCTIONS, TABLES, PROBES, WIDTH = 8, 6, 240, 2.0
+FUNCTIONS, TABLES, PROBES, WIDTH = 7, 6, 400, 2.0
 #: Vectors that a coarse cell should hold; how cells are cut changes no result.
 CELL = 6000
+#: A cell of more members or queries than these is split into parts.
+MEMBERS, ASKING = 24_000, 8192
 #: Queries, and distances, that a task works on at a time.
 QUERIES, PAIRS = 4096, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +77,10 @@ class Hashes:
         object.__setattr__(self, "shifts", rng.random((self.tables, self.functions)).astype(np.float32))
         object.__setattr__(self, "template", probe_template(self.functions, 3 * self.probes))
 
+    def home(self, table: int, x: np.ndarray) -> np.ndarray:
+        """Slots (n x m) of each vector."""
+        return np.floor(x @ self.directions[table] / (self.width * self.scale) + self.shifts[table]).astype(np.int64)
+
     def probed(self, table: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots (n x m) of each vector and of its probes (n x probes x m), the likeliest first."""
         m = self.functions
@@ -149,7 +155,7 @@ def _merge(best_d: np.ndarray, best_i: np.ndarray, q: np.ndarray, a: np.ndarray,
     best_i[q[rows[some]], place[some]] = names[some]
 
 
-def _nearest(block: pa.Table, k: int) -> pa.Table:
+def _nearest(block: pa.Table, k: int, centre: np.ndarray) -> pa.Table:
     """Within one coarse cell: for each vector that probes it, the k nearest ids of
     the members in the buckets it probes, by exact distances and then by id. Float
     products only choose candidates, with room for their rounding.
@@ -165,7 +171,8 @@ def _nearest(block: pa.Table, k: int) -> pa.Table:
     at = at[np.argsort(own[at], kind="stable")]
     buckets, first = np.unique(own[at], return_index=True)
     last = np.append(first[1:], len(at))
-    norms = np.einsum("ij,ij->i", x, x)
+    z = (x - centre).astype(np.float32)
+    norms = np.einsum("ij,ij->i", z, z)
     room = 4e-7 * x.shape[1] * (norms + norms.max(initial=0))  # more than the products' error
     found: list[tuple] = []
     for low in range(0, len(ids) if len(buckets) else 0, QUERIES):
@@ -187,7 +194,7 @@ def _nearest(block: pa.Table, k: int) -> pa.Table:
                 step = max(1, PAIRS // len(there))
                 for q0 in range(lo, hi, step):
                     q = asks[q0 : min(hi, q0 + step)]
-                    d = x[low + q] @ x[there].T
+                    d = z[low + q] @ z[there].T
                     d *= -2
                     d += norms[low + q, None]
                     d += norms[None, there]
@@ -207,20 +214,24 @@ def _nearest(block: pa.Table, k: int) -> pa.Table:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding",
-    functions: int = FUNCTIONS, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, cell: int = CELL,
+    vectors: DataFrame, k: int = 10, *, queries: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding",
+    functions: int = FUNCTIONS, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, cell: int = CELL, members: int = MEMBERS, asking: int = ASKING,
 ) -> DataFrame:
-    """``vec_id, neighbours, distances``: of every vector the k nearest others found,
-    nearest first, by exact Euclidean distance (ties by id).
+    """``vec_id, neighbours, distances``: of every vector that ``queries`` (a condition;
+    all by default) selects, the k nearest others found among all vectors, nearest
+    first, by exact Euclidean distance (ties by id).
 
-    Each table hashes a vector with ``functions`` Gaussian projections cut into
-    slots of ``width`` root-mean-square lengths. A query visits its own bucket and
+    Each table hashes a centred vector with ``functions`` Gaussian projections cut
+    into slots of ``width`` root-mean-square lengths. A query visits its own bucket and
     the perturbed ones likeliest to hold near vectors, ``probes`` a table, by the
     distances to its slots' borders. A table's first slots name a coarse cell: a
-    vector travels once to each cell it probes, with the list of buckets there, and
-    buckets are joined inside the cell; of each cell only a query's k nearest ids
-    leave it. How many slots name a cell follows the number of vectors, so that a cell
-    stays of about ``cell`` vectors; it changes no result.
+    vector travels to its own cell in each table, and a query also to each cell it
+    probes, with the list of buckets there; buckets are joined inside the cell, and of
+    each cell only a query's k nearest ids leave it. How many slots name a cell follows
+    the number of vectors, so that a cell stays of about ``cell`` vectors; it changes no
+    result. Of equal vectors only the k + 1 least ids are members, which no list can
+    tell from all. A cell of over ``members`` members or ``asking`` queries is split into
+    parts, in which every member meets every query once.
 
     A null vector, one with nulls or values that aren't finite, or of another length
     than most, is nobody's neighbour and has empty lists; a null id has no row; an
@@ -229,50 +240,95 @@ def nearest_neighbours(
     shorter lists; an empty table gives none; other columns are ignored.
     """
     spark = vectors.sparkSession
-    given = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null")
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    given = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), asks.alias("q")).where("id is not null")
     fine = F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e)
-    kinds = given.where(fine).groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.avg(square).alias("s")).where("n > 0").collect()
-    ids = given.select(F.col("id").alias("vec_id")).distinct()
+    kinds = given.where(fine).groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).where("n > 0").collect()
+    ids = given.where("q").select(F.col("id").alias("vec_id")).distinct()
     none = ids.select("vec_id", F.array().cast("array<bigint>").alias("neighbours"), F.array().cast("array<double>").alias("distances"))
     if not kinds:
         return none
     usual = max(kinds, key=lambda r: (r.c, r.n))
+    usable = given.where(fine & (F.size("v") == usual.n))
+    each = [F.col("v")[i].cast("double") for i in range(usual.n)]
+    moments = usable.agg(*(F.avg(e) for e in each), *(F.var_pop(e) for e in each)).first()
+    centre, spread = np.array(moments[: usual.n]), math.sqrt(sum(moments[usual.n :]))
     coarse = min(functions, max(1, round(math.log(max(usual.c / cell, 1), 2.2))))
-    hashes = Hashes(usual.n, math.sqrt(usual.s) or 1.0, coarse, functions, tables, probes, width)
+    hashes = Hashes(usual.n, spread or 1.0, coarse, functions, tables, probes, width)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Small batches leave one by one: a vector has hundreds of probes and a row a cell.
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
             own_ids = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy().reshape(len(own_ids), -1) if b.num_rows else np.zeros((0, 1))
+            x = b.column(1).flatten().to_numpy().reshape(len(own_ids), -1) if b.num_rows else np.zeros((0, usual.n), np.float32)
+            roles = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)], axis=1)
             for lo in range(0, len(own_ids), 512):
-                part, part_ids = x[lo : lo + 512], own_ids[lo : lo + 512]
-                raw = [r.tobytes() for r in part]
-                for t in range(tables):
-                    slots, moved = hashes.probed(t, part)
-                    home = _mix(slots[:, :coarse], t)
-                    home_fine = _mix(slots[:, coarse:], t)
-                    cells = _mix(moved[:, :, :coarse], t).ravel()
-                    buckets = _mix(moved[:, :, coarse:], t).ravel()
-                    rows = np.repeat(np.arange(len(part)), moved.shape[1])
-                    order = np.lexsort((cells, rows))
-                    rows, cells, buckets = rows[order], cells[order], buckets[order]
-                    new = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(cells, prepend=cells[0]) != 0))
-                    r = rows[new]
-                    offsets = np.append(new, len(rows)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(cells[new]), pa.array(part_ids[r]), pa.array([raw[i] for i in r], pa.binary()), pa.array(home_fine[r]),
-                            pa.array(cells[new] == home[r]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets)),
-                        ],
-                        ["key", "id", "x", "own", "member", "probes"],
-                    )
-
-    usable = given.where(fine & (F.size("v") == usual.n)).distinct()  # a row that repeats adds nothing
+                yield own_ids[lo : lo + 512], x[lo : lo + 512], roles[lo : lo + 512]
+
+    def placed(x: np.ndarray, roles: np.ndarray, t: int):
+        """Home cells and buckets of all rows; and of the queries a row a cell probed: row, cell, list of buckets."""
+        z = (x - centre).astype(np.float32)
+        slots = hashes.home(t, z)
+        home, own = _mix(slots[:, :coarse], t), _mix(slots[:, coarse:], t)
+        asking_rows = np.flatnonzero(roles[:, 1])
+        moved = hashes.probed(t, z[asking_rows])[1]
+        cells, buckets = _mix(moved[:, :, :coarse], t).ravel(), _mix(moved[:, :, coarse:], t).ravel()
+        rows = np.repeat(asking_rows, moved.shape[1])
+        order = np.lexsort((cells, rows))
+        rows, cells, buckets = rows[order], cells[order], buckets[order]
+        new = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(cells, prepend=cells[:1]) != 0))
+        return home, own, rows[new], cells[new], np.append(new, len(rows)).astype(np.int32), buckets
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, roles in parts(batches):
+            for t in range(tables):
+                home, _, _, cells, _, _ = placed(x, roles, t)
+                home = home[roles[:, 0]]
+                key, at = np.unique(np.concatenate([home, cells]), return_inverse=True)
+                is_member = np.arange(len(at)) < len(home)
+                m, q = (np.bincount(at[k], minlength=len(key)) for k in (is_member, ~is_member))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, m, q)], ["key", "m", "q"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Small batches leave one by one: a query has hundreds of probes and a row a cell.
+        for own_ids, x, roles in parts(batches):
+            raw = [r.tobytes() for r in x]
+            for t in range(tables):
+                home, own, rows, cells, offsets, buckets = placed(x, roles, t)
+                m = np.flatnonzero(roles[:, 0])
+                r = np.concatenate([m, rows])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(m), np.int32), offsets])), pa.array(buckets))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([home[m], cells])), pa.array(own_ids[r]), pa.array([raw[i] for i in r], pa.binary()), pa.array(own[r]),
+                        pa.array(np.arange(len(r)) < len(m)), lists,
+                    ],
+                    ["key", "id", "x", "own", "member", "probes"],
+                )
+
     bound_batches(spark)
-    rows = usable.mapInArrow(probe, "key bigint, id bigint, x binary, own bigint, member boolean, probes array<bigint>")
-    pairs = rows.groupBy("key").applyInArrow(lambda block: _nearest(block, k), "id bigint, other bigint, d double")
+    once = usable.groupBy("id", "v").agg(F.max("q").alias("q"))  # a row that repeats adds nothing
+    # Ranked in a window that Spark limits before the shuffle too, so that a hot vector sends k + 1 rows a task.
+    least = Window.partitionBy("v").orderBy("id")
+    chosen = once.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1).select("id", "v", F.lit(True).alias("m"), "q")
+    both = materialize(chosen.union(once.where("q").select("id", "v", F.lit(False), "q")).groupBy("id", "v").agg(F.max("m").alias("m"), F.max("q").alias("q")), "vectors")
+    rows = both.mapInArrow(probe, "key bigint, id bigint, x binary, own bigint, member boolean, probes array<bigint>")
+    counted = both.mapInArrow(sizes, "key bigint, m bigint, q bigint").groupBy("key").agg(F.sum("m").alias("m"), F.sum("q").alias("q"))
+    full = materialize(
+        counted.where((F.col("m") > members) | (F.col("q") > asking)).select("key", F.ceil(F.col("m") / members).alias("mp"), F.ceil(F.col("q") / asking).alias("qp")), "full"
+    )
+    if full.isEmpty():
+        split = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    else:
+        to = lambda n: F.sequence(F.lit(0), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).cast("int") - 1)
+        of = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1))).cast("int")
+        split = rows.join(full, "key", "left").withColumn(
+            "at",
+            F.when(F.col("member"), F.transform(to(F.col("qp")), lambda j: F.struct(of(F.col("mp")).alias("i"), j.alias("j")))).otherwise(
+                F.transform(to(F.col("mp")), lambda i: F.struct(i.alias("i"), of(F.col("qp")).alias("j")))
+            ),
+        )
+        split = split.select("key", "id", "x", "own", "member", "probes", F.explode("at").alias("at")).select("key", "id", "x", "own", "member", "probes", "at.i", "at.j")
+    pairs = split.groupBy("key", "i", "j").applyInArrow(lambda block: _nearest(block, k, centre), "id bigint, other bigint, d double")
     found = pairs.groupBy("id", "other").agg(F.min("d").alias("d")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "other"))).alias("e"))
     top = found.select("id", F.slice("e", 1, k).alias("e"))
     empty = F.array().cast
@@ -281,3 +337,12 @@ def nearest_neighbours(
         F.coalesce(F.col("e.other"), empty("array<bigint>")).alias("neighbours"),
         F.coalesce(F.col("e.d"), empty("array<double>")).alias("distances"),
     )
+
+
+def oracle(k: int = 10) -> str:
+    """The exact neighbours of the queries of ``op2`` as DuckDB SQL, over all vectors."""
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    d AS (SELECT q.vec_id, v.vec_id AS other, list_sum(list_transform(list_zip(q.x, v.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+      FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r FROM d)
+    SELECT vec_id, list(other ORDER BY r) AS neighbours, list(round(sqrt(d), 9) ORDER BY r) AS distances FROM r WHERE r <= {k} GROUP BY vec_id"""

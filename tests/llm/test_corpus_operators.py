@@ -71,6 +71,23 @@ def test_neighbours_are_distinct_ids_and_ties_go_to_the_least(spark):
         assert got[i] == [int(j) for j in sorted(d, key=lambda j: (d[j], j))[:5]]
 
 
+def test_neighbours_of_chosen_rows_in_split_cells(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((300, 8)).astype(np.float32) * 1e-3 + 100  # a common offset, small differences
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[5].tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    chosen = F.col("vec_id") % 5 == 0
+    whole = {r.vec_id: (r.neighbours, r.distances) for r in ann.nearest_neighbours(df, 5, queries=chosen, width=20.0).collect()}
+    split = {r.vec_id: (r.neighbours, r.distances) for r in ann.nearest_neighbours(df, 5, queries=chosen, width=20.0, members=40, asking=15).collect()}
+    assert whole == split and set(whole) == {i for i, _ in rows if i % 5 == 0}
+    v = np.array([v for _, v in rows], np.float32).astype(float)
+    for k, (i, _) in enumerate(rows):
+        if i % 5 == 0:
+            d = ((v - v[k]) ** 2).sum(axis=1)
+            best = sorted((d[j], rows[j][0]) for j in range(len(rows)) if j != k)[:5]
+            assert whole[i][0] == [j for _, j in best]
+
+
 def test_probes_come_in_order_and_never_move_a_slot_twice():
     t = ann.probe_template(6, 100)
     assert t.shape == (100, 12) and not t[0].any() and len({tuple(r) for r in t}) == 100
@@ -162,6 +179,40 @@ def test_near_pairs_against_all_pairs():
         assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
 
 
+@pytest.mark.parametrize("bits", [17, 18, 19, 20])
+def test_pairs_at_the_edge_of_the_distance_are_found(spark, bits):
+    rng = np.random.default_rng(bits)
+    base = rng.integers(0, 2**63, (3000, 2), dtype=np.uint64)
+    far = base[:1000].copy()
+    for r in far:
+        for b in rng.choice(128, bits, replace=False):
+            r[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    ranks = simhash.gray_rank(np.concatenate([base, far])).view(np.int64)
+    df = spark.createDataFrame([(int(h), int(w), i) for i, (h, w) in enumerate(ranks.tolist())], "hi long, lo long, rep long")
+    n_bits, tables = simhash.plan(250_000)
+    got = {(r.u, r.v) for r in simhash._search(df, n_bits, tables, simhash.DISTANCE).collect()}
+    found = sum((3000 + i, i) in got for i in range(1000))
+    assert found >= (990 if bits < 20 else 980)
+    for n in (10, 10**4, 10**6, 10**9, 10**11):
+        k, t = simhash.plan(n)
+        assert 1 - (1 - (1 - simhash.DISTANCE / 128) ** k) ** t >= 0.99
+
+
+def test_a_large_cluster_is_one_component():
+    rng = np.random.default_rng(2)
+    one = np.repeat(rng.integers(0, 2**63, (1, 2), dtype=np.uint64), 3000, axis=0)
+    for r in one:
+        for b in rng.integers(0, 128, 6):
+            r[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    ranks = simhash.gray_rank(np.concatenate([one, rng.integers(0, 2**63, (50, 2), dtype=np.uint64)]))
+    words = simhash.gray_word(ranks[np.lexsort((ranks[:, 1], ranks[:, 0]))].copy())
+    label = simhash.linked(words, np.array([0]), 20)
+    i, j = simhash.near_pairs(words, np.array([0]), 20)
+    want = np.arange(len(words))
+    simhash._join(want, i, j)
+    assert (label == want).all() and len(set(label.tolist())) == 51
+
+
 def test_gray_ranks_sort_neighbouring_words():
     ranks = np.stack([np.zeros(16, np.uint64), np.arange(16, dtype=np.uint64)], axis=1)
     w = simhash.gray_word(ranks.copy())
@@ -369,7 +420,7 @@ def norm(v):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df, sql = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
     order = lambda cols, rows: sorted((tuple(norm(r[i]) for i in sorted(range(len(cols)), key=lambda i: cols[i])) for r in rows), key=repr)
