@@ -12,7 +12,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, list_array, materialize
@@ -122,15 +122,14 @@ def word_counts(coded: DataFrame) -> DataFrame:
     return each.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
 
 
-def _forget(*tables: DataFrame) -> None:
-    """Deletes written tables that are no longer read, and what was shuffled for them."""
+def _forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that are no longer read, and what was shuffled for tables that are written."""
     for t in tables:
-        spark = t.sparkSession
         for path in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def bigrams(docs: DataFrame, vocabulary: list[str], *, text_col: str = "text") -> DataFrame:
@@ -447,6 +446,7 @@ def coded_model(coded: DataFrame, *, classes: int, rounds: int | None, rate: flo
     the objective most in, by its counts over all texts."""
     spark = coded.sparkSession
     counts = materialize(word_counts(coded), "counts")
+    _forget(spark)
     enough = F.lit(LEAST)
     if rate:
         enough = F.lit(max(LEAST, rate * (counts.agg(F.sum("n")).first()[0] or 0)))
@@ -461,19 +461,21 @@ def coded_model(coded: DataFrame, *, classes: int, rounds: int | None, rate: flo
     met = materialize(profiles(coded, placed, k).where(F.col("n") >= enough), "met")
     heads = spark.createDataFrame([(w, c) for w, c in placed.items()], "word string, c int").select(F.xxhash64("word").alias("h"), "c")
     joined = materialize(joined_classes(met, n).union(heads), "classes")
+    _forget(spark, met)
     words = counts.where(F.col("n") >= enough).withColumn("h", F.xxhash64("word")).join(joined, "h")
     rest = counts.where(F.col("n") < enough).agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     special = spark.createDataFrame([(SPECIAL[0], 0, 0, 1), (SPECIAL[1], 1, k - 1, rest.n)], "word string, w bigint, c int, n bigint")
     columns = "word", "w", "h", "c", "n"
     words = words.withColumn("w", F.monotonically_increasing_id() + 2).select(*columns)
     words = materialize(words.union(special.withColumn("h", F.lit(None).cast("bigint")).select(*columns)), "words")
+    _forget(spark, counts, joined)
     mass = np.zeros(k)
     for r in words.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
         mass[r.c] = r.n + add * r.k
     of_class = F.element_at(F.array(*map(F.lit, mass.tolist())), F.col("c") + 1)
     model = words.withColumn("e", F.log((F.col("n") + add) / of_class))
     known = materialize(with_words(coded, words), "known")
-    _forget(coded, counts, met, joined)
+    _forget(spark, coded)
     return Model(model, smoothed(class_bigrams(known, k)), mass, rest.k), known
 
 
