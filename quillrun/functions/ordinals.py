@@ -10,16 +10,18 @@ SAMPLE = 100
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Ordinals over the partitions of a scan in their order: one pass counts each
-    partition's rows, and a literal array has where each begins. Only for plans
-    without a shuffle: partitions must be the same at each run."""
-    counts = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}
-    starts, total = [], 0
-    for i in range(max(counts, default=-1) + 1):
-        starts.append(total)
-        total += counts.get(i, 0)
-    base = F.element_at(F.array(*map(F.lit, starts or [0])), F.spark_partition_id() + 1)
-    return df.withColumn(name, (base + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint"))
+    """Ordinals over a file scan: files in order of their paths, a file's splits by
+    where they begin, and rows as they lie in a split. A task may have splits of
+    several files in any order, so a split's rows are numbered from its own first.
+    Where each split begins is a table of a row a split, which is broadcast: as many
+    rows as the driver has splits to plan. Only for plans without a shuffle."""
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_low", low)
+    splits = placed.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_low").alias("_first"))
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.select(F.col("_path").alias("_p"), F.col("_start").alias("_s"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    numbered = placed.join(F.broadcast(bases), (F.col("_path") == F.col("_p")) & (F.col("_start") == F.col("_s")))
+    return numbered.withColumn(name, (F.col("_base") + F.col("_low")).cast("bigint")).select(*df.columns, name)
 
 
 def dense_order(df: DataFrame, *order: str, name: str, start: int = 0) -> DataFrame:

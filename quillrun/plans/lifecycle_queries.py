@@ -272,10 +272,11 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where only the first half of a batch's items are still submitted."""
-    items = _mixed(spark, sf_dir).where("item_index % 200 < 150")
-    all_ = _batches(_mixed(spark, sf_dir))
-    return summary.active_batches(all_, items.where("item_index % 400 < 100"), _intents(items)).select("provider_batch_id", "local_batch_id", "status")
+    """Where what was submitted has ended but in every fourth batch."""
+    items = _mixed(spark, sf_dir)
+    ended = (F.col("status") == "submitted") & (F.floor(F.col("item_index") / BATCH) % 4 != 0)
+    left = items.withColumn("status", F.when(ended, "completed").otherwise(F.col("status")))
+    return summary.active_batches(_batches(items), left, _intents(items)).select("provider_batch_id", "local_batch_id", "status")
 
 
 def inflight_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,8 +471,8 @@ ORACLES = {
     "run_summary": f"""SELECT count(*) AS total_items, count(*) FILTER (k = 3) AS completed_items, count(*) FILTER (k = 5) AS failed_items,
       (SELECT count(*) FROM {_BATCHES_SQL}) AS active_batches, 'running' AS status FROM {_MIXED}""",
     "status_counts": f"SELECT status, count(*) AS n FROM {_MIXED} GROUP BY status",
-    "active_batches": f"""SELECT batch AS provider_batch_id, local_batch_id, status FROM {_BATCHES_SQL} b WHERE status = 'submitted' OR n % 4 = 0
-      OR (n % 3 = 0 AND n % 6 <> 0 AND EXISTS (SELECT 1 FROM {_MIXED} m WHERE m.k = 2 AND m.batch = b.batch AND m.item_index % 200 < 150))""",
+    "active_batches": f"""SELECT batch AS provider_batch_id, local_batch_id, status FROM {_BATCHES_SQL} b WHERE status = 'submitted'
+      OR EXISTS (SELECT 1 FROM {_MIXED} m WHERE m.k = 2 AND m.batch = b.batch AND (m.item_index // {BATCH}) % 4 = 0) OR (n % 3 = 0 AND n % 6 <> 0)""",
     "inflight_tokens": f"SELECT coalesce(sum(item_index + 1), 0)::BIGINT AS tokens FROM {_MIXED} WHERE k = 2",
     "capacity_by_scope": f"""SELECT quota_scope, sum(tokens)::BIGINT AS tokens FROM (
       SELECT CASE WHEN n % 2 = 0 THEN 'openai:m:label:even' ELSE 'openai:m:default' END AS quota_scope, n * 10 + 1 AS tokens FROM {_BATCHES_SQL} WHERE n % 3 = 0 AND n % 6 <> 0

@@ -20,6 +20,7 @@ from .query_data import DOCS, LABEL_SCHEMA, ROW_SCHEMA, documents, table
 SPLIT_TOKENS = 400
 SYSTEM = "Be brief."
 PACK = {"max_requests": 50, "max_bytes": 200_000, "max_tokens": 20_000}
+WINDOW = tokens.claim_window(PACK["max_requests"])
 
 
 def _prompt() -> Column:
@@ -147,18 +148,19 @@ def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    within, _ = tokens.split_oversized(_requests(spark, sf_dir), PACK["max_tokens"] // 5)
-    return packing.pack(within, **PACK)
+    """Of all requests that a batch can hold, those of each claim window packed on their own, in parallel."""
+    within, _ = tokens.split_oversized(_requests(spark, sf_dir), PACK["max_tokens"])
+    return packing.pack(within, **PACK, window=WINDOW)
 
 
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch plan: rendered, measured, packed."""
-    columns = ["item_id", "item_index", "custom_id", "request_sha256", "request_bytes", "submission_tokens", "batch_ordinal", "line_number"]
+    columns = ["item_id", "item_index", "custom_id", "request_sha256", "request_bytes", "submission_tokens", "cycle", "batch_ordinal", "line_number"]
     return _packed(spark, sf_dir).select(*columns)
 
 
 def pack_batches_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.batch_totals(_packed(spark, sf_dir)).drop("cycle")
+    return packing.batch_totals(_packed(spark, sf_dir))
 
 
 def work_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,16 +230,17 @@ def _responses_sql(tail: str = "", attempt: int = 1) -> str:
       || CASE WHEN {_EVEN} THEN ',"instructions":"{SYSTEM}"' ELSE '' END || '{tail}}}}}' AS request_line FROM {DOCS}"""
 
 
-_PACKED = f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY item_index) AS pos FROM {_REQUESTS} WHERE submission_tokens <= {PACK["max_tokens"] // 5}),
+_PACKED = f"""WITH RECURSIVE r AS (SELECT *, item_index // {WINDOW} AS cycle, row_number() OVER (PARTITION BY item_index // {WINDOW} ORDER BY item_index) AS pos
+  FROM {_REQUESTS} WHERE submission_tokens <= {PACK["max_tokens"]}),
 p AS (
-  SELECT pos, 1::BIGINT AS batch_ordinal, 1::BIGINT AS line_number, request_bytes AS b, submission_tokens AS t FROM r WHERE pos = 1
+  SELECT cycle, pos, 1::BIGINT AS batch_ordinal, 1::BIGINT AS line_number, request_bytes AS b, submission_tokens AS t FROM r WHERE pos = 1
   UNION ALL
-  SELECT r.pos,
+  SELECT r.cycle, r.pos,
     CASE WHEN line_number >= {PACK["max_requests"]} OR b + request_bytes > {PACK["max_bytes"]} OR t + submission_tokens > {PACK["max_tokens"]} THEN batch_ordinal + 1 ELSE batch_ordinal END,
     CASE WHEN line_number >= {PACK["max_requests"]} OR b + request_bytes > {PACK["max_bytes"]} OR t + submission_tokens > {PACK["max_tokens"]} THEN 1 ELSE line_number + 1 END,
     CASE WHEN line_number >= {PACK["max_requests"]} OR b + request_bytes > {PACK["max_bytes"]} OR t + submission_tokens > {PACK["max_tokens"]} THEN request_bytes ELSE b + request_bytes END,
     CASE WHEN line_number >= {PACK["max_requests"]} OR b + request_bytes > {PACK["max_bytes"]} OR t + submission_tokens > {PACK["max_tokens"]} THEN submission_tokens ELSE t + submission_tokens END
-  FROM p JOIN r ON r.pos = p.pos + 1)"""
+  FROM p JOIN r ON r.cycle = p.cycle AND r.pos = p.pos + 1)"""
 
 ORACLES = {
     "scan_items_lineage": f"SELECT item_id, item_index, lang, CASE WHEN {_EVEN} THEN 'mine' ELSE 'documents' END AS source_ref, item_index AS source_item_index, item_id AS source_primary_key FROM {DOCS}",
@@ -267,9 +270,9 @@ ORACLES = {
     "token_estimates": f"SELECT item_id, ceil(length(text) / 4.0)::BIGINT AS text_tokens, ceil(length({_PLAIN}) / 4.0)::BIGINT AS request_tokens FROM {DOCS}",
     "oversize_split": f"""SELECT item_id, submission_tokens, submission_tokens > {SPLIT_TOKENS} AS oversized, CASE WHEN submission_tokens > {SPLIT_TOKENS} THEN 'openai_request_exceeds_batch_token_limit' END AS error_class,
       CASE WHEN submission_tokens > {SPLIT_TOKENS} THEN '{{"submission_tokens":' || submission_tokens || ',"limit":{SPLIT_TOKENS},"limit_type":"batch"}}' END AS raw_error FROM {_REQUESTS}""",
-    "pack_batches": f"{_PACKED} SELECT item_id, item_index, custom_id, request_sha256, request_bytes, submission_tokens, batch_ordinal, line_number FROM p JOIN r USING (pos)",
-    "pack_batches_summary": f"""{_PACKED} SELECT batch_ordinal, count(*) AS requests, sum(request_bytes)::BIGINT AS bytes, sum(submission_tokens)::BIGINT AS tokens, min(item_index) AS first_index, max(item_index) AS last_index
-      FROM p JOIN r USING (pos) GROUP BY batch_ordinal""",
+    "pack_batches": f"{_PACKED} SELECT item_id, item_index, custom_id, request_sha256, request_bytes, submission_tokens, cycle, batch_ordinal, line_number FROM p JOIN r USING (cycle, pos)",
+    "pack_batches_summary": f"""{_PACKED} SELECT cycle, batch_ordinal, count(*) AS requests, sum(request_bytes)::BIGINT AS bytes, sum(submission_tokens)::BIGINT AS tokens, min(item_index) AS first_index, max(item_index) AS last_index
+      FROM p JOIN r USING (cycle, pos) GROUP BY cycle, batch_ordinal""",
     "work_slices": "SELECT (i // 1000)::BIGINT AS slice, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) GROUP BY 1",
     "strip_fence": f"""SELECT item_id, CASE WHEN item_index % 5 = 3 THEN '```json ' ELSE '' END || '{{"id":' || doc_id || '}}' AS stripped FROM {DOCS}""",
     "structured_checks": f"""SELECT item_id, CASE item_index % 6 WHEN 1 THEN 'structured_output_validation_failed' WHEN 5 THEN 'structured_output_validation_failed' WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'empty_response_text' END AS error_class,

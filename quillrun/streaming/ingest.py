@@ -22,17 +22,21 @@ def ingest_stream(
     trigger: dict | None = None, **prompt,
 ) -> StreamingQuery:
     """Appends each micro-batch's rows to a run, numbered on from those there; a row
-    whose id is there with the same payload and metadata is skipped."""
+    whose id is there with the same payload and metadata is skipped, and one whose
+    payload or metadata has changed fails the stream, as an id does that comes with
+    two payloads at once."""
 
     def take(batch: DataFrame, _: int) -> None:
         state = ledger.state(run_id)
         meta = metadata if metadata is not None else F.create_map().cast("map<string,string>")
         rows = batch.select(item_id.cast("string").alias("item_id"), payload.alias("payload"), meta.alias("metadata"))
         existing = ledger.current(run_id, "items")
+        columns = "item_id", "item_index", "payload", "metadata"
         fresh = rows.join(existing.select("item_id"), "item_id", "left_anti")
-        numbered = dense_order(fresh, "item_id", name="item_index", start=state.next_index)
-        new = pending_items(numbered.select("item_id", "item_index", "payload", "metadata"), run_id, **prompt)
-        deltas = {"items": to_insert(new, existing, replay_from=state.next_index)}
+        numbered = dense_order(fresh, "item_id", name="item_index", start=state.next_index).select(*columns)
+        again = rows.join(existing.select("item_id", "item_index"), "item_id").select(*columns)
+        known = pending_items(again, run_id, **prompt).dropDuplicates(["item_id", "payload_json", "metadata_json"])
+        deltas = {"items": to_insert(pending_items(numbered, run_id, **prompt).union(known), existing)}
         state.next_index += fresh.count()
         ledger.commit(run_id, deltas, state)
 

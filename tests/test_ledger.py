@@ -141,4 +141,32 @@ def test_memory_ledger_conflicts(spark):
 def test_markers(spark):
     one = lambda *r: spark.createDataFrame([(x,) for x in r], "run_id string")
     got = backfill_markers(one("a", "b", "c"), one("b"), one("a", "a", "b")).collect()
-    assert {(r.run_id, r.next_index, r.ingested) for r in got} == {("a", 2, True), ("c", 0, True)}
+    assert {(r.run_id, r.next_index, r.ingested) for r in got} == {("a", 2, False), ("c", 0, False)}  # none is known to have read its whole source
+
+
+def test_a_file_is_there_whole_or_not_at_all(spark, tmp_path):
+    files = ParquetLedger(spark, f"file://{tmp_path}/l").files
+    files.create("r/_commits/00000000.json", "{}")
+    with pytest.raises(FileExistsError):
+        files.create("r/_commits/00000000.json", "[]")
+    assert files.read("r/_commits/00000000.json") == "{}" and [n for n in files.names("r/_commits") if not n.startswith(".")] == ["00000000.json"]
+
+
+def test_reservations_of_two_runs(ledger):
+    assert ledger.capacity("q") == (-1, [])
+    ledger.reserve("q", 0, [["a", "b1", 5]])
+    with pytest.raises(CommitConflict):
+        ledger.reserve("q", 0, [["b", "b1", 5]])
+    ledger.reserve("q", 1, [["a", "b1", 5], ["b", "b1", 5]])
+    assert ledger.capacity("q") == (1, [["a", "b1", 5], ["b", "b1", 5]]) and ledger.capacity("other") == (-1, [])
+
+
+def test_deltas_are_folded(spark, tmp_path):
+    ledger = ParquetLedger(spark, f"file://{tmp_path}/l")
+    ledger.DELTAS = 2
+    ledger.create_run(RunState("r"), items(spark))
+    for _ in range(2):
+        apply(ledger, transitions.claim(ledger.current("r", "items"), 3, 1))
+        ledger.tidy("r")
+    before = states(ledger.current("r", "items"))
+    assert len(ledger.manifest("r")["tables"]["items"]) == 1 and sorted(s for s, _ in before.values()) == ["pending", "queued_local", "queued_local"]
