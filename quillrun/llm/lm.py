@@ -12,6 +12,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +70,13 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     (-1 for a null text), codes, words, counts``. A text's tokens are codes, which
     number the distinct words of their own chunk: so what is joined to the
     vocabulary is a row a word and chunk, and texts are read and cut once. Codes
-    take two bytes, or four in a chunk of more than 65,536 distinct words."""
+    take two bytes, or four in a chunk of more than 65,536 distinct words, and are
+    compressed: they are what is shuffled most."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, codes, sizes, ids = Codes(), [], [], []
+        pack = zstandard.ZstdCompressor(level=1).compress
 
         def out():
             flat = np.array(codes, "<u4")
@@ -81,7 +84,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
             one = lambda values: list_array(values, [len(values)])
             columns = [
                 pa.array([uuid.uuid4().int >> 65]), one(pa.concat_arrays(ids)), one(pa.array(sizes, pa.int32())),
-                pa.array([(flat if len(known) > 1 << 16 else flat.astype("<u2")).tobytes()], pa.binary()),
+                pa.array([pack((flat if len(known) > 1 << 16 else flat.astype("<u2")).tobytes())], pa.binary()),
                 one(pa.array(known.keys(), pa.string())), one(pa.array(counts)),
             ]
             return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "codes", "words", "counts"])
@@ -105,10 +108,11 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Of each chunk: its batch and place there, the sizes of its texts, and its codes."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         for i in range(b.num_rows):
             sizes = np.maximum(b.column("sizes")[i].values.to_numpy().astype(np.int64), 0)
-            raw = b.column("codes")[i].as_py()
+            raw = unpack(b.column("codes")[i].as_py())
             yield b, i, sizes, np.frombuffer(raw, "<u4" if len(raw) == 4 * sizes.sum() else "<u2")
 
 
@@ -382,16 +386,30 @@ class Model:
         return np.array([r.e for r in self._rows])
 
 
-def with_words(coded: DataFrame, words: DataFrame) -> DataFrame:
-    """The chunks, each with the lists ``e_code, e_c, e_n`` of its words' numbers,
-    classes and counts; a word that isn't known has neither."""
+def word_lists(coded: DataFrame, words: DataFrame) -> DataFrame:
+    """``chunk, e_code, e_c, e_n``: lists of a chunk's words' numbers, classes and
+    counts; a word that isn't known has -1 and 0."""
     each = coded.select("chunk", F.posexplode("words").alias("code", "word")).select("chunk", "code", F.xxhash64("word").alias("h"))
     each = each.join(words.where("h is not null").select("h", "c", "n"), "h", "left")
     lists = each.groupBy("chunk").agg(F.collect_list(F.struct("code", F.coalesce("c", F.lit(-1)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"))).alias("e"))
-    lists = lists.select("chunk", F.col("e.code").alias("e_code"), F.col("e.c").alias("e_c"), F.col("e.n").alias("e_n"))
+    return lists.select("chunk", F.col("e.code").alias("e_code"), F.col("e.c").alias("e_c"), F.col("e.n").alias("e_n"))
+
+
+def with_lists(coded: DataFrame, lists: DataFrame) -> DataFrame:
     return coded.select("chunk", "ids", "sizes", "codes").join(lists, "chunk", "left")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, packed as tightly as words and counts can be."""
+    codec = "spark.sql.parquet.compression.codec"
+    before = df.sparkSession.conf.get(codec)
+    df.sparkSession.conf.set(codec, "zstd")
+    try:
+        return materialize(df, name)
+    finally:
+        df.sparkSession.conf.set(codec, before)
+
+
 def _along(b: pa.RecordBatch, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes and counts of a chunk's words by code; those of unknown words are k - 1 and 0."""
     e = [b.column(x)[i].values for x in ("e_code", "e_c", "e_n")]
@@ -432,12 +450,12 @@ def smoothed(n: np.ndarray, prior: float = PRIOR) -> np.ndarray:
 def train(docs: DataFrame, *, classes: int = CLASSES, rounds: int | None = None, rate: float = 0.0, text_col: str = "text") -> Model:
     """Count words over all texts, cluster, estimate. Texts cut into tokens, counts
     and classes are written to the shared folder and read from there."""
-    coded = materialize(encode(_texts(docs, text_col)), "coded")
+    coded = _written(encode(_texts(docs, text_col)), "coded")
     return coded_model(coded, classes=classes, rounds=rounds, rate=rate)[0]
 
 
 def coded_model(coded: DataFrame, *, classes: int, rounds: int | None, rate: float, add: float = ADD) -> tuple[Model, DataFrame]:
-    """The model, and the chunks with their words' classes and counts; ``coded`` is deleted.
+    """The model, and the lists of the chunks' words' classes and counts.
 
     Every word that occurs LEAST times is in the model, and the others are unknown
     words, a class of their own. (``rate``, a least part of all tokens, is off.) The
@@ -445,8 +463,7 @@ def coded_model(coded: DataFrame, *, classes: int, rounds: int | None, rate: flo
     their HEAD^2 bigram counts; each other word then joins the class that it raises
     the objective most in, by its counts over all texts."""
     spark = coded.sparkSession
-    counts = materialize(word_counts(coded), "counts")
-    _forget(spark)
+    counts = _written(word_counts(coded), "counts")
     enough = F.lit(LEAST)
     if rate:
         enough = F.lit(max(LEAST, rate * (counts.agg(F.sum("n")).first()[0] or 0)))
@@ -458,7 +475,8 @@ def coded_model(coded: DataFrame, *, classes: int, rounds: int | None, rate: flo
     cls, n = exchange(pairs, classes, rounds)
     k = len(n)
     placed = {w: int(c) for w, c in zip(head, cls[2:])}
-    met = materialize(profiles(coded, placed, k).where(F.col("n") >= enough), "met")
+    _forget(spark)
+    met = _written(profiles(coded, placed, k).where(F.col("n") >= enough), "met")
     heads = spark.createDataFrame([(w, c) for w, c in placed.items()], "word string, c int").select(F.xxhash64("word").alias("h"), "c")
     joined = materialize(joined_classes(met, n).union(heads), "classes")
     _forget(spark, met)
@@ -474,9 +492,11 @@ def coded_model(coded: DataFrame, *, classes: int, rounds: int | None, rate: flo
         mass[r.c] = r.n + add * r.k
     of_class = F.element_at(F.array(*map(F.lit, mass.tolist())), F.col("c") + 1)
     model = words.withColumn("e", F.log((F.col("n") + add) / of_class))
-    known = materialize(with_words(coded, words), "known")
-    _forget(spark, coded)
-    return Model(model, smoothed(class_bigrams(known, k)), mass, rest.k), known
+    lists = _written(word_lists(coded, words), "lists")
+    _forget(spark)
+    found = Model(model, smoothed(class_bigrams(with_lists(coded, lists), k)), mass, rest.k)
+    _forget(spark)
+    return found, lists
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -484,7 +504,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     whose words are joined. Perplexity is for each token and the end. A null text
     has nulls; one without tokens is an end alone; null and repeated ids give a
     row each; other columns are ignored."""
-    return _scores(with_words(materialize(encode(docs, id_col=id_col, text_col=text_col), "coded"), model.words), model)
+    coded = _written(encode(docs, id_col=id_col, text_col=text_col), "coded")
+    return _scores(with_lists(coded, word_lists(coded, model.words)), model)
 
 
 def _scores(known: DataFrame, model: Model, add: float = ADD) -> DataFrame:
@@ -516,6 +537,6 @@ def _scores(known: DataFrame, model: Model, add: float = ADD) -> DataFrame:
 def perplexities(docs: DataFrame, *, classes: int = CLASSES, rounds: int | None = None, rate: float = 0.0) -> DataFrame:
     """Each document's score under the model of all of them; see ``coded_model`` and
     ``score``. An empty table gives none."""
-    coded = materialize(encode(docs), "coded")
-    model, known = coded_model(coded, classes=classes, rounds=rounds, rate=rate)
-    return _scores(known, model)
+    coded = _written(encode(docs), "coded")
+    model, lists = coded_model(coded, classes=classes, rounds=rounds, rate=rate)
+    return _scores(with_lists(coded, lists), model)
