@@ -67,7 +67,8 @@ def balance(
     document; how far below zero one is doesn't matter. Targets that aren't met to
     a part of REPORTED are warned of, and ``gap`` says how far off they are.
     The dual is flat where margins depend on each other (both sum to the budget),
-    which the least-squares solution of a step settles.
+    which the least-squares solution of a step settles. Where a step is expected to
+    lower the dual by less than rounding it is taken whole, and is the last.
 
     ``targets`` has shares by margin, summing to 1; a value without documents is
     left out and the rest scaled up (ValueError if nothing is left); by default
@@ -119,6 +120,11 @@ def balance(
         if gap < tolerance:
             break
         step = np.linalg.lstsq((a * (w2 / unit)) @ a.T, -gradient, rcond=1e-12)[0]
+        if -(gradient @ step) < 1e-13 * abs(value) and (a.T @ (theta + step) * longest).max() < MOST:
+            # A whole step lowers the dual by less than its sum is exact to: the last.
+            theta, done = theta + step, done + 1
+            w1 = sums(a.T @ theta)[1]
+            break
         size = 1.0
         while True:
             tried = theta + size * step
