@@ -78,13 +78,18 @@ def bottom_k(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def merge_sketches(sketches: DataFrame, by: list[str], *, sketch_col: str = "sketch", k: int = K) -> DataFrame:
     """The sketch of the union of each group's sets: ``by..., sketch``.
 
-    The k least distinct hashes of a group are ranked in windows, which Spark
-    limits before the shuffle too, so a hot group never meets in one row beyond k
-    hashes a task. Groups of nulls or empty sketches alone have no row."""
-    rows = sketches.select(*by, F.explode(sketch_col).alias("__h"))
-    w = Window.partitionBy(*by).orderBy("__h") if by else Window.partitionBy(F.lit(0)).orderBy("__h")
-    least = rows.withColumn("__r", F.dense_rank().over(w)).where(F.col("__r") <= k)
-    return least.groupBy(*by).agg(F.array_sort(F.collect_set("__h")).alias("sketch"))
+    Hashes that a group has more than once are folded first, within each task and
+    then by hash, so that copies of a frequent shingle are one row; the k least of a
+    group are then ranked in windows, which Spark limits before the shuffle too: a
+    task sends k rows a group at most, however hot. Rows that repeat and equal
+    sketches change nothing; a null group is a group; groups of null or empty
+    sketches alone have no row; other columns, whatever their names, are ignored."""
+    names = [f"g{i}" for i in range(len(by))]
+    rows = sketches.select(*(F.col(c).alias(n) for c, n in zip(by, names)), F.explode(sketch_col).alias("h")).distinct()
+    w = Window.partitionBy(*(names or [F.lit(0)])).orderBy("h")
+    least = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    merged = least.groupBy(*names).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    return merged.select(*(F.col(n).alias(c) for c, n in zip(by, names)), "sketch")
 
 
 def distinct_count(sketch: Column, k: int = K) -> Column:

@@ -47,14 +47,14 @@ class Featurizer:
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.words: list[int] = []
-        self.shapes: list[int] = []
+        self.words = self.shapes = np.zeros(0, np.int64)
 
     def _learn(self, words: set[str]) -> None:
-        for w in words - self.ids.keys():
-            self.ids[w] = len(self.words)
-            self.words.append(crc32(w.lower().encode()) % HALF)
-            self.shapes.append(HALF + crc32(shape(w).encode()) % (HALF - 1))
+        new = list(words - self.ids.keys())
+        if new:
+            self.ids.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.words = np.concatenate([self.words, [crc32(w.lower().encode()) % HALF for w in new]])
+            self.shapes = np.concatenate([self.shapes, [HALF + crc32(shape(w).encode()) % (HALF - 1) for w in new]])
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         if len(self.ids) > REMEMBERED:
@@ -67,7 +67,7 @@ class Featurizer:
         row = np.repeat(np.arange(len(texts)), sizes)
         again = np.flatnonzero((ids[1:] == ids[:-1]) & (row[1:] == row[:-1])) if len(ids) else ids
         base = row * FEATURES
-        at = np.concatenate([base + np.array(self.words, np.int64)[ids], base + np.array(self.shapes, np.int64)[ids], base[again] + REPEATED])
+        at = np.concatenate([base + self.words[ids], base + self.shapes[ids], base[again] + REPEATED])
         return np.bincount(at, minlength=len(texts) * FEATURES).reshape(len(texts), FEATURES).astype(np.float32)
 
 
@@ -118,11 +118,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2048, rank: int = 3
     """Fit on at most ``sample`` labelled documents, the bound on what the driver
     holds and every task receives (sample x (FEATURES + rank) floats, whatever the
     texts' lengths): those of least hash of the id, a uniform sample. A label of
-    null quality or id is left out; of a document's several labels the least
-    counts. None if no labelled document is there."""
+    null quality or id is left out; of a document's several labels, and of its
+    several texts where an id repeats, the least counts. None if no labelled document
+    is there."""
     labelled = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "__q", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__q").agg(F.min("text").alias("text"))
 
     def start():
         feat = Featurizer()
