@@ -130,10 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2048, rank: int = 3
 
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
             values = []
-            for t in b.column(2).to_pylist():
-                row = feat.counts([t])[0]
-                at = np.flatnonzero(row)
-                values.append((at, row[at]))
+            texts = b.column(2).to_pylist()
+            for lo in range(0, len(texts), 64):
+                for row in feat.counts(texts[lo : lo + 64]):
+                    at = np.flatnonzero(row)
+                    values.append((at, row[at]))
             return pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([v[0] for v in values], pa.list_(pa.int32())), pa.array([v[1] for v in values], pa.list_(pa.float32()))],
                 ["doc_id", "q", "at", "n"],
