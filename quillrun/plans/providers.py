@@ -86,6 +86,9 @@ class Batch:
 class Provider(ABC):
     """The calls that reach the provider; all run on the driver."""
 
+    #: Batches that may be asked after at once.
+    threads = 1
+
     def __init__(self, config: ProviderConfig):
         self.config = config
 

@@ -45,6 +45,8 @@ def status_of(status: str, kind: str) -> str:
 class RemoteProvider(Provider):
     """What the adapters share: a batch's lines as text, and outputs kept once."""
 
+    threads = 8
+
     kind = ""
 
     def __init__(self, config: ProviderConfig, client: object, root: str):
