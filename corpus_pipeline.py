@@ -16,23 +16,28 @@ from quillrun.llm.common import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones, doesn't reject. Null
+    and empty texts, and null ids, stay; rows that repeat are judged alike; an empty
+    table gives none."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.kept_documents(docs, model)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that of least id. Null and blank
+    texts and null ids stay; of an id that repeats one row stays."""
     return simhash.kept_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as balancing sources and languages gives it copies."""
+    """Each document as often as balancing sources and languages gives it copies. Null
+    and empty texts have one; null sources and languages are parts of their own."""
     return mixing.mixed_documents(docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and byte spans of every copy, and the text that the ids decode to."""
+    """Piece ids and byte spans of every copy, and the text that the ids decode to. A
+    null text has nulls, an empty one empty lists."""
     return piece_codec.encode_pieces(docs, decoded=True)
 
 
@@ -43,8 +48,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("SentencePiece encoding and decoding", pieces_stage),
 ]
 
-#: None of the stages' models (a singular value decomposition, 128-bit XXH3, Newton's
-#: method, BPE merges) can be put in SQL; tests/llm/test_pipeline.py has brute force.
+#: The stages' models (a singular value decomposition, Newton's method, BPE merges) can't
+#: be put in SQL; test_pipeline_against_its_stages in tests/llm/test_corpus_operators.py
+#: holds the whole against brute force.
 ORACLE_SQL = None
 
 

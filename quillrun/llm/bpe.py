@@ -23,6 +23,8 @@ CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A task forgets its chunks beyond so many; results don't depend on it.
 REMEMBERED = 1_000_000
+#: Longer chunks, as of texts without spaces, aren't remembered.
+LONG = 64
 
 
 class Vocabulary:
@@ -70,6 +72,8 @@ class Chunks(dict):
         self.base, self.make = base, make
 
     def __missing__(self, chunk: str):
+        if len(chunk) > LONG:
+            return self.make(chunk)
         if len(self) > REMEMBERED:
             self.clear()
             self.update(self.base)

@@ -28,6 +28,8 @@ class WordHashes(dict):
         if len(self) > 1_000_000:
             self.clear()
         d = md5(word, usedforsecurity=False).digest()
+        if len(word) > 64:  # a text without spaces isn't remembered
+            return int.from_bytes(d[:4], "big") % PRIME, int.from_bytes(d[4:8], "big") % PRIME
         value = self[word] = int.from_bytes(d[:4], "big") % PRIME, int.from_bytes(d[4:8], "big") % PRIME
         return value
 

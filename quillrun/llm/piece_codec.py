@@ -26,6 +26,8 @@ DEFAULT = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _SPACE = SPACE.encode()
 REMEMBERED = 500_000
+#: Longer chunks, as of texts without spaces, aren't remembered beyond their batch.
+LONG = 64
 CHUNK = re.compile(" +[^ ]*")
 
 
@@ -163,6 +165,7 @@ class Codec:
                 out[k] = self.encode(t or "")
         self._learn(set().union(*cut.values()))
         get = self.seen.__getitem__
+        long = [c for chunks in cut.values() for c in chunks if len(c) > LONG]
         for k, chunks in cut.items():
             ids = np.frombuffer(b"".join(map(get, chunks)), "<i4")
             ends = np.cumsum(self.sizes[ids], dtype=np.int32)
@@ -170,6 +173,8 @@ class Codec:
             begins = np.empty_like(ends)
             begins[0], begins[1:] = 0, ends[:-1]
             out[k] = ids, begins, ends
+        for c in long:
+            self.seen.pop(c, None)
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

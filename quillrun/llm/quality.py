@@ -47,17 +47,19 @@ class Featurizer:
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
+        self.long = False
         self.words = self.shapes = np.zeros(0, np.int64)
 
     def _learn(self, words: set[str]) -> None:
         new = list(words - self.ids.keys())
         if new:
+            self.long = any(len(w) > 64 for w in new)  # texts without spaces aren't remembered
             self.ids.update(zip(new, range(len(self.words), len(self.words) + len(new))))
             self.words = np.concatenate([self.words, [crc32(w.lower().encode()) % HALF for w in new]])
             self.shapes = np.concatenate([self.shapes, [HALF + crc32(shape(w).encode()) % (HALF - 1) for w in new]])
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.ids) > REMEMBERED:
+        if len(self.ids) > REMEMBERED or self.long:
             self.clear()
         split = [t.split() if t else [] for t in texts]
         self._learn(set().union(*split))

@@ -9,6 +9,7 @@ wants one document fetches the table and that document's frame alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from struct import pack, unpack
 
@@ -133,7 +134,7 @@ def write_tokens(
         get, cut, join = Chunks({}, make).__getitem__, CHUNK.findall, b"".join
         fs, root = _open(path)
         ctx = TaskContext.get()
-        name = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.tok.zst"
+        name = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-w{width}.tok.zst"
         out = None
         for b in batches:
             rows = []
@@ -171,10 +172,12 @@ def orphans(spark: SparkSession, path: str) -> list[str]:
     return sorted(there - {r.shard for r in named})
 
 
-def read_tokens(index: DataFrame, path: str, *, width: int = 2) -> DataFrame:
+def read_tokens(index: DataFrame, path: str) -> DataFrame:
     """``doc_id, tokens`` of the index rows given: filter the index first, and
     only the frames that its rows name are fetched, decompressed and checked.
-    Rows are gathered by shard and frame, so that a frame is read once."""
+    Rows are gathered by shard and frame, so that a frame is read once. How many
+    bytes an id takes is in the shard's name. A row of a null text has null tokens;
+    rows that repeat give a row each; an empty index gives none."""
     kind = index.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +191,7 @@ def read_tokens(index: DataFrame, path: str, *, width: int = 2) -> DataFrame:
                     continue
                 if at != shard:
                     at, reader, have = shard, FrameReader(fs.open_input_file(f"{root}/shards/{shard}")), None
+                    width = int(re.search(r"-w(\d)\.tok", shard)[1])
                 if have != frame:
                     have, raw = frame, reader.frame(frame)
                 tokens.append(np.frombuffer(raw, f"<u{width}", n, start * width).astype("i4"))
