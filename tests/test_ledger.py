@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillrun.operators import ingest, summary, transitions
+from quillrun.operators import ingest, outcomes, summary, transitions
 from quillrun.plans.ledger import CommitConflict, MemoryLedger, ParquetLedger, RunState, backfill_markers, open_ledger
 
 NOW = datetime(2024, 1, 1)
@@ -170,3 +170,14 @@ def test_deltas_are_folded(spark, tmp_path):
         ledger.tidy("r")
     before = states(ledger.current("r", "items"))
     assert len(ledger.manifest("r")["tables"]["items"]) == 1 and sorted(s for s, _ in before.values()) == ["pending", "queued_local", "queued_local"]
+
+
+def test_claiming_all_and_classifying_are_not_left_to_one_task(spark):
+    """A limit, or a table of few bytes, would bring all items to one or two tasks."""
+    df = items(spark, 40).coalesce(1)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    everything = transitions.claim(df, 3)
+    assert everything.count() == 40 and "Limit" not in plan(everything) and "TakeOrdered" not in plan(everything)
+    outputs = spark.createDataFrame([], "provider_batch_id string, custom_id string, is_error boolean, value string")
+    found = outcomes.classify_outcomes(everything.withColumns({"status": F.lit("submitted"), "active_custom_id": F.col("item_id"), "active_batch_id": F.lit("b")}), outputs)
+    assert "REPARTITION_BY_NUM" in plan(found) and found.count() == 40
