@@ -204,3 +204,13 @@ def test_input_modes():
 def test_provider_payload_round_trip():
     c = providers.ProviderConfig("gemini", limits=tokens.EnqueueLimits(10))
     assert providers.ProviderConfig.from_payload(json.loads(json.dumps(c.payload()))) == c
+
+
+def test_a_document_is_parsed_once_for_all_of_its_schema(spark):
+    schema = {"type": "object", "properties": {"label": {"type": "string"}, "score": {"type": "number"}}, "required": ["label", "score"], "additionalProperties": False}
+    texts = ['{"label":"a","score":1}', '{"label":1,"score":1}', '{"label":"a"}', "not json", "", "null"]
+    checked = spark.createDataFrame([(x,) for x in texts], "x string").select(structured.validate(F.col("x"), schema).alias("r"))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    bad = "structured_output_validation_failed"
+    assert [r.r.error_class for r in checked.collect()] == [None, bad, bad, "invalid_json", "empty_response_text", bad]
